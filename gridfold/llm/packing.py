@@ -26,8 +26,8 @@ from gridfold.llm._common import bounded_batches, column
 from gridfold.llm.tokens import encoded
 
 CAPACITY, END_ID = 4096, 2
-#: Windows of a group, ids of its last window left free for the division to succeed, and the most ids of a document's rest in one piece.
-WINDOWS, SLACK, PIECE = 128, 12, 1024
+#: Windows of a group, ids left free in each for the division to succeed, and the most ids of a rest in one piece.
+WINDOWS, SLACK, PIECE = 256, 30, 512
 
 
 def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +83,7 @@ class _Packer:
 
     def __init__(self, capacity: int, windows: int, piece: int):
         self.capacity, self.piece = capacity, piece
-        self.most = windows * capacity - windows * SLACK if windows * capacity > 2 * windows * SLACK else windows * capacity
+        self.most = windows * max(1, capacity - SLACK) if capacity > 8 * SLACK else windows * capacity
         self.sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         self.pieces: list[tuple] = []
         self.held = 0

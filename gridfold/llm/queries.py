@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfold.llm import exact_dedup, packing, token_files
+from gridfold.llm import exact_dedup, mixing, packing, quality_rules, token_files, warc
 from gridfold.llm._common import shared_dir
 
 
@@ -27,6 +27,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(documents(spark, sf_dir))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "warc")
+    bundles = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    return warc.read(spark, bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -37,10 +47,19 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken, sources = mixing.mix(documents(spark, sf_dir), F.array("source"))
+    goals = spark.createDataFrame([(k, int(n), round(t, 6)) for k, (n, t) in sources.items()], "source string, source_size long, target double")
+    return taken.join(F.broadcast(goals), F.col("sources")[0].eqNullSafe(F.col("source"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_warc": op4_warc,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_files": op7_token_files,
+    "op8_mixing": op8_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -48,4 +67,24 @@ ORACLE_SQL: dict[str, str] = {
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS body, length(coalesce(text, '')) AS points FROM documents),
         g AS (SELECT body, count(*) AS group_size, arg_min(doc_id, (-points, doc_id)) AS keep_id FROM d GROUP BY body)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM d JOIN g USING (body)""",
+    "op4_warc": r"""
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT payload_digest, min(page_id) AS first FROM p GROUP BY payload_digest)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM p JOIN f USING (payload_digest)""",
+    "op8_mixing": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS seeded FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+        w AS (SELECT *, CAST(CASE (k - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight, 3.0 * n AS cap, sum(n) OVER () AS total FROM s),
+        r AS (SELECT *, cap / weight AS ratio,
+                     (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                     / sum(weight) OVER (ORDER BY cap / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM w),
+        u AS (SELECT min_by(unit, ratio) FILTER (WHERE unit <= ratio) AS unit FROM r),
+        t AS (SELECT r.source, n, CAST(CASE WHEN ratio < u.unit THEN cap ELSE weight * u.unit END AS DOUBLE) AS target FROM r, u),
+        q AS (SELECT *, CAST(round_even(target, 0) AS BIGINT) AS quota FROM t),
+        o AS (SELECT d.*, n, target, quota // greatest(n, 1) AS whole, quota % greatest(n, 1) AS rest,
+                     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY seeded, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+              FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+        SELECT doc_id, size, n AS source_size, round(target, 6) AS target, CAST(whole * size + greatest(0, least(size, rest - ahead)) AS BIGINT) AS taken FROM o""",
 }
