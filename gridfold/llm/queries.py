@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfold.llm import exact_dedup, mixing, near_dedup, packing, quality_rules, token_files, warc
+from gridfold.llm import exact_dedup, mixing, near_dedup, packing, quality_rules, substring_dedup, token_files, warc
 from gridfold.llm._common import shared_dir
 
 
@@ -53,6 +53,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.join(F.broadcast(goals), F.col("sources")[0].eqNullSafe(F.col("source"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.substring_dedup(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(documents(spark, sf_dir))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_files": op7_token_files,
     "op8_mixing": op8_mixing,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
 
@@ -101,4 +107,13 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
         c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)""",
+    "op9_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        v AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35),
+        h AS (SELECT doc_id, i, sha256(array_to_string(w[i : i + 34], ' ')) AS h FROM v),
+        r AS (SELECT doc_id, i FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*) > 1)),
+        g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM r),
+        x AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id),
+        k AS (SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, CASE WHEN gone IS NULL THEN w ELSE list_select(w, list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i))) END AS kept FROM d LEFT JOIN x USING (doc_id))
+        SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
 }
