@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfold.llm import exact_dedup, mixing, near_dedup, packing, quality_rules, substring_dedup, token_files, warc
+from gridfold.llm import ctw, exact_dedup, mixing, near_dedup, packing, quality_rules, substring_dedup, token_files, warc
 from gridfold.llm._common import shared_dir
 
 
@@ -37,6 +37,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_warc": op4_warc,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_files": op7_token_files,
     "op8_mixing": op8_mixing,

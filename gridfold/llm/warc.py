@@ -139,7 +139,7 @@ class BundleReader:
         self.file.close()
 
 
-def write(pages: DataFrame, folder: str, *, least: int = LEAST, frame: int = FRAME, bundles: int | None = None) -> DataFrame:
+def write(pages: DataFrame, folder: str, *, least: int = LEAST, frame: int = FRAME) -> DataFrame:
     """Writes the bundles below folder; returns one row per bundle: bundle, records, frames.
 
     pages needs page_id, url and html. Which payloads repeat is found from digests alone; payloads are shuffled once, by page.
@@ -152,9 +152,8 @@ def write(pages: DataFrame, folder: str, *, least: int = LEAST, frame: int = FRA
     first = light.groupBy("digest").agg(F.min(F.coalesce("page_id", F.lit(_LAST))).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
     # Rows of one page_id and digest: none of them revisits its own id.
     revisits = light.join(first, "digest").filter(F.coalesce("page_id", F.lit(_LAST)) != F.col("first")).select(F.col("page_id").alias("id"), F.col("digest").alias("of"), "first").distinct()
-    parts = bundles or n_shuffle(spark)
-    dealt = rows.withColumn("digest", F.sha2("payload", 256)).repartition(parts, "page_id")
-    joined = dealt.join(revisits.hint("shuffle_hash"), dealt.page_id.eqNullSafe(revisits.id) & (dealt.digest == revisits.of), "left").select("page_id", "url", "digest", F.length("payload").alias("bytes"), F.when(F.col("first").isNull(), F.col("payload")).alias("payload"), "first")
+    dealt = rows.withColumn("digest", F.sha2("payload", 256))
+    joined = dealt.join(revisits, dealt.page_id.eqNullSafe(revisits.id) & (dealt.digest == revisits.of), "left").select("page_id", "url", "digest", F.length("payload").alias("bytes"), F.when(F.col("first").isNull(), F.col("payload")).alias("payload"), "first")
     schema = pa.schema([("bundle", pa.string()), ("records", pa.int64()), ("frames", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
