@@ -4,7 +4,8 @@ A byte is coded by eight binary decisions; each decision has a context tree over
 often 0 and 1 followed its context; its Krichevsky-Trofimov block probability depends on these counts alone, and so does
 the weighted one: half the node's own estimate plus half the product of its children's. So the tree needs no sequential
 pass: byte n-grams are counted by all tasks, and the weights are worked out bottom-up from the counts, in groups of the last
-two context bytes (at most 256^(DEPTH - 1) n-grams each, a fixed bound); the two upper levels are 256 contexts and the root.
+two context bytes (the n-grams that share two bytes: at most 256^(DEPTH - 1), in text a small share of the model); the two
+upper levels are 256 contexts and the root.
 A prediction mixes the estimates of all depths, each weighted by its posterior.
 
 The end of a text is coded as one more byte (0), and the start is a context of zeros, so probabilities of texts add up to
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gridfold.llm._common import U64, Words, bounded_batches, column, hash_bytes, map_shared, materialise, n_shuffle, shared_dir, slices, write_arrays
 
-DEPTH = 4
+DEPTH = 5
 HELD_OUT, PARTS = 2, 7
 #: N-grams and words that a task adds up before it hands them on; bytes of text at a time.
 HELD, SLICE = 1_500_000, 2 << 20
