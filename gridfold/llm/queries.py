@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfold.llm import ctw, exact_dedup, mixing, near_dedup, packing, quality_rules, substring_dedup, token_files, warc
+from gridfold.llm import ctw, exact_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, token_files, warc
 from gridfold.llm._common import shared_dir
 
 
@@ -27,6 +27,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_classifier.classify(docs, quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
@@ -68,6 +73,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
     "op4_warc": op4_warc,
     "op5_lm_scoring": op5_lm_scoring,
