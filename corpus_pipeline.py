@@ -1,5 +1,78 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: quality rules, exact dedup, near dedup, mixing to target weights, packing.
+
+STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as
+Parquet to the shared folder and reads again as the next stage's docs. All stages but the last return the columns of docs.
+A stage's decisions take effect: documents that it rejects are gone for the next.
+
+Nulls, empty and long texts, ties, repeated rows and empty tables: as the operators define. A stage joins its verdicts to the
+rows by doc_id; rows that share a doc_id share the verdict of the first row of that id (least of keep and drop: they stay if
+any of them does). Rows without a doc_id pass the dedup stages unchanged.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridfold.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
+from gridfold.llm._common import materialise, shared_dir
+from gridfold.llm.queries import tokenizer_path
+
+
+def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows whose doc_id a verdict keeps; rows without doc_id stay where their verdict says so."""
+    kept = verdicts.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return _keep(docs, quality_rules.quality_rules(docs))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays; of several rows of its doc_id, one."""
+    verdicts = materialise(exact_dedup.exact_dedup(docs), f"{shared_dir(spark, 'exact-stage')}/verdicts")
+    rows = _keep(docs, verdicts)
+    if verdicts.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return rows
+    return rows.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(rows.filter("doc_id IS NULL"))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return _keep(docs, near_dedup.near_dedup(docs))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often as the mix takes them, in whole copies: the part of a copy counts as one from half its words on."""
+    taken, _ = mixing.mix(docs, F.array("source"))
+    copies = taken.filter("taken > 0").select(F.col("doc_id").alias("taken_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies")).groupBy("taken_id").agg(F.max("copies").alias("copies")).filter("copies > 0")
+    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["taken_id"]))
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*[docs[c] for c in docs.columns])
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of near-equal length: one row per piece, with its ids' checksum."""
+    pieces = packing.pack(docs, tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("exact dedup", exact_stage),
+    ("near dedup", near_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: SQL has neither the robust estimates nor the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = materialise(stage(spark, docs, sf_dir), f"{folder}/{k}")
+    return docs
