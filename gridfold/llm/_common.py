@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import io
 import os
-import tempfile
 import urllib.parse
 import uuid
 from collections.abc import Iterator
@@ -17,9 +16,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from gridfold.operators.storage import materialise, n_shuffle, shared_dir  # noqa: F401  the operators' common tools
+
 #: A word and the white space between words, as Java regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
@@ -27,25 +28,6 @@ SPACE = r"[\x20\x09-\x0D]"
 U64 = np.uint64
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below the session's spark.checkpoint.dir; where that is unset, below one of our own (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridfold-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialise(df: DataFrame, path: str) -> DataFrame:
-    """Writes a table to the shared folder and returns it read again: its lineage ends there."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def n_shuffle(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keeps Arrow batches of whole texts small, where the session has not chosen less."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

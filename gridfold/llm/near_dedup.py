@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfold.llm._common import U64, Words, bounded_batches, column, gram_hashes, materialise, mix, shared_dir, slices
-from gridfold.llm.components import components
+from gridfold.operators.components import components
 
 SHINGLE, BANDS, ROWS = 5, 36, 6
 SIMILARITY = 85
@@ -145,8 +145,9 @@ def near_dedup(docs: DataFrame, *, similarity: int = SIMILARITY, bands: int = BA
 
     tested = materialise(members.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), f"{folder}/tested-0")
     links = check(tested, "links-0")
+    final = None
     for step in range(1, STAR_ROUNDS + 2):
-        found = components(links, f"{folder}/components-{step}") if not links.isEmpty() else None
+        found = final = materialise(components(links, f"{folder}/components-{step}"), f"{folder}/labels-{step}") if not links.isEmpty() else None
         labelled = members.select("bucket", "node", "size")
         labelled = labelled.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")) if found is not None else labelled.withColumn("component", F.col("node"))
         spread = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min_by("node", F.xxhash64("node", F.lit(step))).alias("pivot")).filter("least <> most")
@@ -163,12 +164,17 @@ def near_dedup(docs: DataFrame, *, similarity: int = SIMILARITY, bands: int = BA
             pairs = open_.filter("node <> pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"))
         new = materialise(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), f"{folder}/tested-{step}")
         tested = tested.unionByName(new)
-        links = links.unionByName(check(new, f"links-{step}"))
+        more = check(new, f"links-{step}")
+        if not more.isEmpty():
+            links, final = links.unionByName(more), None
+        elif not last:
+            continue
         if last:
             break
     whole = sketches.join(classes, ["c1", "c2", "n_shingles"], "left").select("doc_id", "n_shingles", "rep")
-    if not links.isEmpty():
+    if final is None and not links.isEmpty():
         final = components(links, f"{folder}/components")
+    if final is not None:
         whole = whole.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
     else:
         whole = whole.withColumn("component", F.lit(None).cast("long"))
