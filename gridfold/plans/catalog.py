@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridfold.plans import panel, proximity, relational
+from gridfold.plans import panel, proximity, relational, statistics
 from gridfold.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "panel", "proximity", "relational"]
+__all__ = ["ORACLES", "QUERIES", "panel", "proximity", "relational", "statistics"]
