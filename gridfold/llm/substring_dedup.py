@@ -2,11 +2,10 @@
 
 Every window of W words has an anchor: its leftmost gram of K words with the least hash. Equal windows have equal anchors at
 equal places, so it is enough to index anchors, about one in (W - K + 2) / 2 words. An index row holds the anchor's
-fingerprint and a 128-bit digest of the block, the words of all windows that share the anchor.
+fingerprint and a digest of the block, the words of all windows that share the anchor: 128 bits together.
 
 The index is log-structured. A run is an immutable table, bucketed and sorted by fingerprint. A new batch is combined per
-(fingerprint, block), merge-joined with each run (bucket by bucket: history is not shuffled again), and written as a run of
-its own; when FANOUT runs of a level have gathered, they are compacted to one run of the next level. So a corpus grows by
+(fingerprint, block), written as a run, and merge-joined with each earlier run (bucket by bucket: history is not shuffled again); when more than FANOUT runs of a level have gathered, they are compacted to one run of the next level. So a corpus grows by
 batches without reading earlier texts again.
 
 Fingerprints that meet (in history, or twice in a batch) are only candidates. They are verified on whole windows: a block
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from gridfold.llm._common import U64, Words, bounded_batches, column, gram_hashes, hash_bytes, materialise, mix, n_shuffle, shared_dir, slices
 
 W, K = 35, 8
-BATCHES, FANOUT = 3, 2
+BATCHES, FANOUT = 3, 1
 _Q = (0x9E3779B97F4A7C15 | 7, 0xC2B2AE3D27D4EB4F)
 _PLACE = 22  # bits of a word's place in a slice of texts
 
@@ -40,13 +39,13 @@ _PLACE = 22  # bits of a word's place in a slice of texts
 class Blocks:
     """Word hashes of some texts, and digests of any run of words by prefix sums modulo 2^64."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, digests: int = 1):
         words = Words(texts)
         self.counts, self.starts = words.counts, words.starts
         distinct = words.distinct()
         self.hashes = hash_bytes(distinct)[words.codes]
         self.sums, self.back = [], []
-        for seed, q in enumerate(_Q):
+        for seed, q in enumerate(_Q[:digests]):
             powers = np.full(len(words) + 1, q, U64)
             inverse = np.full(len(words) + 1, pow(q, -1, 1 << 64), U64)
             powers[0] = inverse[0] = 1
@@ -56,7 +55,7 @@ class Blocks:
             self.back.append(inverse)
 
     def digests(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent 64-bit digests of the words in [start, end)."""
+        """Independent 64-bit digests of the words in [start, end)."""
         length = (end - start).astype(U64)
         return tuple(mix((s[end] - s[start]) * b[start] + length).view(np.int64) for s, b in zip(self.sums, self.back, strict=True))
 
@@ -91,25 +90,25 @@ def anchors(blocks: Blocks, w: int = W, k: int = K):
 
 
 def staged(docs: DataFrame, batches: int, w: int = W, k: int = K) -> DataFrame:
-    """Index rows of every document: batch, row, fp, h1, h2, first, windows."""
-    schema = pa.schema([("row", pa.int64()), ("fp", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("first", pa.int32()), ("windows", pa.int32())])
+    """Index rows of every document: batch, row, fp, block, first, windows."""
+    schema = pa.schema([("row", pa.int64()), ("fp", pa.int64()), ("block", pa.int64()), ("first", pa.int32()), ("windows", pa.int32())])
 
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in items:
             rows, texts = column(batch, "row").to_numpy(zero_copy_only=False), column(batch, "text")
-            for lo, hi in slices(texts, 3 << 20):
+            for lo, hi in slices(texts, 1 << 20):
                 blocks = Blocks(texts.slice(lo, hi - lo))
                 text, first, length, fp = anchors(blocks, w, k)
                 start = blocks.starts[text] + first
-                h1, h2 = blocks.digests(start, start + length + w - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[lo:hi][text]), pa.array(fp.view(np.int64)), pa.array(h1), pa.array(h2), pa.array(first.astype(np.int32)), pa.array(length.astype(np.int32))], schema=schema)
+                (block,) = blocks.digests(start, start + length + w - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[lo:hi][text]), pa.array(fp.view(np.int64)), pa.array(block), pa.array(first.astype(np.int32)), pa.array(length.astype(np.int32))], schema=schema)
 
-    out = docs.mapInArrow(run, "row long, fp long, h1 long, h2 long, first int, windows int")
+    out = docs.mapInArrow(run, "row long, fp long, block long, first int, windows int")
     return out.withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int"))
 
 
 class FingerprintIndex:
-    """Runs of (fp, h1, h2, n), each bucketed and sorted by fp below one folder of the shared storage."""
+    """Runs of (fp, block, n), each bucketed and sorted by fp below one folder of the shared storage."""
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int, fanout: int = FANOUT):
         self.spark, self.folder, self.buckets, self.fanout = spark, folder, buckets, fanout
@@ -120,32 +119,36 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame) -> str:
         self.made += 1
         name = f"{self.name}_{self.made}"
-        sorted_ = rows.select("fp", "h1", "h2", "n").repartition(self.buckets, "fp").sortWithinPartitions("fp", "h1", "h2")
+        sorted_ = rows.select("fp", "block", "n").repartition(self.buckets, "fp").sortWithinPartitions("fp", "block")
         sorted_.write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.folder}/{name}").format("parquet").saveAsTable(name)
         return name
 
-    def runs(self) -> list[DataFrame]:
-        return [self.spark.table(name) for level in self.levels for name in level]
-
-    def meets(self, batch: DataFrame) -> DataFrame:
-        """Fingerprints of the batch's combined rows that are found in history, or in the batch more than once."""
-        own = batch.groupBy("fp").agg(F.sum("n").alias("n")).filter("n > 1").select("fp")
-        for run in self.runs():
-            own = own.unionByName(batch.select("fp").join(run.select("fp").hint("merge"), "fp", "left_semi"))
-        return own.distinct()
-
-    def append(self, batch: DataFrame, at: int = 0) -> None:
-        """Adds a run; compacts a level that is full."""
+    def runs(self) -> list[str]:
+        return [name for level in self.levels for name in level]
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Writes the batch's combined rows as a run; returns the fingerprints that are in earlier runs too, or more than once in this one."""
+        history = self.runs()
+        name = self._write(batch)
+        own = self.spark.table(name)
+        met = own.groupBy("fp").agg(F.sum("n").alias("n")).filter("n > 1").select("fp")
+        for run in history:
+            met = met.unionByName(own.select("fp").join(self.spark.table(run).select("fp").hint("merge"), "fp", "left_semi"))
+        met = materialise(met, f"{self.folder}/met-{self.made}")
+        self._keep(name, 0)
+        return met
+
+    def _keep(self, name: str, at: int) -> None:
+        """Puts a run into its level; a level that is over full is compacted to one run of the next."""
         while len(self.levels) <= at:
             self.levels.append([])
-        self.levels[at].append(self._write(batch))
+        self.levels[at].append(name)
         if len(self.levels[at]) > self.fanout:
-            old = self.levels[at]
+            old, self.levels[at] = self.levels[at], []
             merged = self.spark.table(old[0])
-            for name in old[1:]:
-                merged = merged.unionByName(self.spark.table(name))
-            self.levels[at] = []
-            self.append(merged.groupBy("fp", "h1", "h2").agg(F.sum("n").alias("n")), at + 1)
+            for other in old[1:]:
+                merged = merged.unionByName(self.spark.table(other))
+            self._keep(self._write(merged.groupBy("fp", "block").agg(F.sum("n").alias("n"))), at + 1)
             self.drop(old)
 
     def drop(self, names: list[str]) -> None:
@@ -157,22 +160,22 @@ class FingerprintIndex:
 
 
 def _windows(rows: DataFrame, w: int) -> DataFrame:
-    """Digests of single windows: rows with text and blocks (h1, h2, first, windows, n); out h1, h2, place, w1, w2, n."""
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("place", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64()), ("n", pa.int64())])
+    """Digests of single windows: rows with text and blocks (fp, block, first, windows, n); out fp, block, place, w1, w2, n."""
+    schema = pa.schema([("fp", pa.int64()), ("block", pa.int64()), ("place", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64()), ("n", pa.int32())])
 
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in items:
             texts, wanted = column(batch, "text"), column(batch, "blocks").to_pylist()
-            for lo, hi in slices(texts, 3 << 20):
-                blocks = Blocks(texts.slice(lo, hi - lo))
-                own = [(b["h1"], b["h2"], b["n"], b["windows"], int(blocks.starts[k - lo]) + b["first"]) for k in range(lo, hi) for b in wanted[k]]
-                h1, h2, n, length, start = (np.array(x, np.int64) for x in zip(*own, strict=True))
+            for lo, hi in slices(texts, 1 << 20):
+                blocks = Blocks(texts.slice(lo, hi - lo), 2)
+                own = [(b["fp"], b["block"], b["n"], b["windows"], int(blocks.starts[k - lo]) + b["first"]) for k in range(lo, hi) for b in wanted[k]]
+                fp, block, n, length, start = (np.array(x, np.int64) for x in zip(*own, strict=True))
                 place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
                 at = np.repeat(start, length) + place
                 w1, w2 = blocks.digests(at, at + w)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(h1, length)), pa.array(np.repeat(h2, length)), pa.array(place.astype(np.int32)), pa.array(w1), pa.array(w2), pa.array(np.repeat(n, length))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fp, length)), pa.array(np.repeat(block, length)), pa.array(place.astype(np.int32)), pa.array(w1), pa.array(w2), pa.array(np.repeat(np.minimum(n, 2), length).astype(np.int32))], schema=schema)
 
-    return rows.select("text", "blocks").mapInArrow(run, "h1 long, h2 long, place int, w1 long, w2 long, n long")
+    return rows.select("text", "blocks").mapInArrow(run, "fp long, block long, place int, w1 long, w2 long, n int")
 
 
 def repeated_windows(index_rows: DataFrame, docs: DataFrame, folder: str, batches: int, w: int = W) -> DataFrame:
@@ -181,24 +184,20 @@ def repeated_windows(index_rows: DataFrame, docs: DataFrame, folder: str, batche
     index = FingerprintIndex(spark, f"{folder}/index", n_shuffle(spark))
     met = None
     for b in range(batches):
-        combined = materialise(index_rows.filter(F.col("batch") == b).groupBy("fp", "h1", "h2").agg(F.count("*").alias("n")), f"{folder}/batch-{b}")
-        found = materialise(index.meets(combined), f"{folder}/met-{b}")
+        found = index.add(index_rows.filter(F.col("batch") == b).groupBy("fp", "block").agg(F.count("*").alias("n")))
         met = found if met is None else met.unionByName(found)
-        if b < batches - 1:
-            index.append(combined)
-    met = materialise(met.distinct(), f"{folder}/met")
     # verification: blocks of met fingerprints
-    open_ = materialise(index_rows.join(met, "fp", "left_semi").select("row", "fp", "h1", "h2", "first", "windows"), f"{folder}/candidates")
-    blocks = open_.groupBy("fp", "h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "windows")).alias("at"))
-    blocks = materialise(blocks.select("fp", "h1", "h2", "n", "at.row", "at.first", "at.windows"), f"{folder}/blocks")
+    open_ = materialise(index_rows.join(met, "fp", "left_semi").select("row", "fp", "block", "first", "windows"), f"{folder}/candidates")
+    blocks = open_.groupBy("fp", "block").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "windows")).alias("at"))
+    blocks = materialise(blocks.select("fp", "block", "n", "at.row", "at.first", "at.windows"), f"{folder}/blocks")
     mixed = blocks.groupBy("fp").agg(F.count("*").alias("kinds"), F.min("n").alias("rarest")).filter("kinds > 1 AND rarest = 1").select("fp")
     torn = blocks.join(mixed, "fp", "left_semi")
-    wanted = torn.groupBy("row").agg(F.collect_list(F.struct("h1", "h2", "first", "windows", "n")).alias("blocks"))
+    wanted = torn.groupBy("row").agg(F.collect_list(F.struct("fp", "block", "first", "windows", "n")).alias("blocks"))
     single = materialise(_windows(docs.join(wanted, "row"), w), f"{folder}/windows")
     again = single.groupBy("w1", "w2").agg(F.count("*").alias("kinds"), F.min("n").alias("rarest")).filter("kinds > 1 AND rarest = 1").select("w1", "w2")
-    partly = single.filter("n = 1").join(again, ["w1", "w2"], "left_semi").select("h1", "h2", "place")
-    partly = partly.join(blocks.filter("n = 1").select("h1", "h2", "row", "first"), ["h1", "h2"]).select("row", (F.col("first") + F.col("place")).alias("first"), F.lit(1).alias("windows"))
-    fully = open_.join(blocks.filter("n > 1").select("fp", "h1", "h2"), ["fp", "h1", "h2"], "left_semi").select("row", "first", "windows")
+    partly = single.filter("n = 1").join(again, ["w1", "w2"], "left_semi").select("fp", "block", "place")
+    partly = partly.join(blocks.filter("n = 1").select("fp", "block", "row", "first"), ["fp", "block"]).select("row", (F.col("first") + F.col("place")).alias("first"), F.lit(1).alias("windows"))
+    fully = open_.join(blocks.filter("n > 1").select("fp", "block"), ["fp", "block"], "left_semi").select("row", "first", "windows")
     return fully.unionByName(partly)
 
 

@@ -194,12 +194,12 @@ def test_substring_dedup(docs, empty, w, k, batches):
 def test_index_compacts(spark):
     folder = shared_dir(spark, "test-index")
     index = substring_dedup.FingerprintIndex(spark, folder, 2, fanout=1)
-    for k in range(4):
-        rows = spark.createDataFrame([(k, 1, 1, 1), (100, 2, 2, 1)], "fp long, h1 long, h2 long, n long")
-        assert sorted(r.fp for r in index.meets(rows).collect()) == ([100] if k else [])
-        index.append(rows)
-    assert sum(r.count() for r in index.runs()) < 8
-    assert len(index.runs()) <= 2
+    for k in range(5):
+        rows = spark.createDataFrame([(k, 1, 1), (100, 2, 1)], "fp long, block long, n long")
+        assert sorted(r.fp for r in index.add(rows).distinct().collect()) == ([100] if k else [])
+    assert len(index.runs()) <= 3
+    kept = [r for name in index.runs() for r in spark.table(name).collect()]
+    assert len(kept) < 10 and sum(r.n for r in kept) == 10
 
 
 def test_quality_rules(docs, empty):
