@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,17 +160,26 @@ class FingerprintIndex:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _structs(lists: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """A column of lists of structs as flat arrays by field, and where each row's part ends (one more than rows, from 0)."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    fields = {f.name: pc.struct_field(flat, k).to_numpy(zero_copy_only=False).astype(np.int64) for k, f in enumerate(flat.type)}
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), fields
+
+
 def _windows(rows: DataFrame, w: int) -> DataFrame:
     """Digests of single windows: rows with text and blocks (fp, block, first, windows, n); out fp, block, place, w1, w2, n."""
     schema = pa.schema([("fp", pa.int64()), ("block", pa.int64()), ("place", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64()), ("n", pa.int32())])
 
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in items:
-            texts, wanted = column(batch, "text"), column(batch, "blocks").to_pylist()
+            texts, (ends, own) = column(batch, "text"), _structs(column(batch, "blocks"))
             for lo, hi in slices(texts, 1 << 20):
                 blocks = Blocks(texts.slice(lo, hi - lo), 2)
-                own = [(b["fp"], b["block"], b["n"], b["windows"], int(blocks.starts[k - lo]) + b["first"]) for k in range(lo, hi) for b in wanted[k]]
-                fp, block, n, length, start = (np.array(x, np.int64) for x in zip(*own, strict=True))
+                part = slice(ends[lo], ends[hi])
+                fp, block, n, length = (own[c][part] for c in ("fp", "block", "n", "windows"))
+                start = np.repeat(blocks.starts, np.diff(ends[lo : hi + 1])) + own["first"][part]
                 place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
                 at = np.repeat(start, length) + place
                 w1, w2 = blocks.digests(at, at + w)
@@ -217,12 +227,13 @@ def substring_dedup(docs: DataFrame, *, w: int = W, k: int = K, batches: int = B
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in items:
             n_words, n_removed, kept = [], [], []
-            for text, own in zip(column(batch, "text").to_pylist(), column(batch, "spans").to_pylist(), strict=True):
+            ends, spans = _structs(column(batch, "spans"))
+            for k, text in enumerate(column(batch, "text").to_pylist()):
                 words = text.encode().split()
+                first, own = spans["first"][ends[k] : ends[k + 1]], ends[k + 1] > ends[k]
                 edges = np.zeros(len(words) + 1, np.int64)
-                for s in own or ():
-                    edges[s["first"]] += 1
-                    edges[s["first"] + s["windows"] + w - 1] -= 1
+                np.add.at(edges, first, 1)
+                np.add.at(edges, first + spans["windows"][ends[k] : ends[k + 1]] + w - 1, -1)
                 gone = np.cumsum(edges[:-1]) > 0
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
