@@ -64,3 +64,21 @@ def neighbour_sums(points: DataFrame, key: str, miles: float, weights: list[str]
     around = points.select(F.col(key).alias("_other"), F.col("lat").alias("site_lat"), F.col("lon").alias("site_lon"), *[F.col(w).alias(f"_{w}") for w in weights])
     pairs = radius_join(points.select(key, "lat", "lon"), around, miles, radius=radius)
     return pairs.groupBy(key).agg(F.count("*").alias("neighbours"), *[F.sum(f"_{w}").alias(f"{w}_near") for w in weights])
+
+
+def in_polygons(points: DataFrame, polygons: DataFrame, key: str, polygon: str) -> DataFrame:
+    """Pairs of points and the polygons that hold them, by ray casting: polygons have vertices, an array of (lon, lat) in order.
+
+    Boxes go by a grid of one degree first; a polygon's edges are then one array expression per candidate, without UDFs.
+    """
+    v = F.col("vertices")
+    lons, lats = F.transform(v, lambda p: p["lon"]), F.transform(v, lambda p: p["lat"])
+    boxes = polygons.select(polygon, v, F.array_min(lons).alias("min_lon"), F.array_max(lons).alias("max_lon"), F.array_min(lats).alias("min_lat"), F.array_max(lats).alias("max_lat"))
+    cells = boxes.withColumn("_x", F.explode(F.sequence(F.floor("min_lon"), F.floor("max_lon")))).withColumn("_y", F.explode(F.sequence(F.floor("min_lat"), F.floor("max_lat"))))
+    near = points.withColumns({"_x": F.floor("lon"), "_y": F.floor("lat")}).join(cells, ["_x", "_y"]).filter("lon BETWEEN min_lon AND max_lon AND lat BETWEEN min_lat AND max_lat")
+    turned = F.concat(F.slice(v, 2, F.size(v)), F.slice(v, 1, 1))
+    edges = F.arrays_zip(v.alias("a"), turned.alias("b"))
+    x, y = F.col("lon"), F.col("lat")
+    crosses = lambda e: ((e["a"]["lat"] > y) != (e["b"]["lat"] > y)) & (x < (e["b"]["lon"] - e["a"]["lon"]) * (y - e["a"]["lat"]) / F.nullif(e["b"]["lat"] - e["a"]["lat"], F.lit(0.0)) + e["a"]["lon"])
+    inside = F.size(F.filter(edges, crosses)) % 2 == 1
+    return near.filter(inside).select(key, polygon)

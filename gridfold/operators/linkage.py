@@ -125,3 +125,21 @@ def require_resolved(adjudicated: DataFrame) -> DataFrame:
     if open_:
         raise ValueError(f"unresolved dates: {[r.asDict() for r in open_]}")
     return adjudicated
+
+
+def blocking_audit(records: DataFrame) -> DataFrame:
+    """Matches among all pairs of a state, and how many of them blocking generates: one row. Meant for bounded samples of records."""
+    other = records.select(F.col("rid").alias("b"), "state")
+    every = records.select(F.col("rid").alias("a"), "state").join(other, "state").filter("a < b").select("a", "b")
+    found = compare(every, records).filter("call = 'match'").select("a", "b")
+    kept = found.join(candidate_pairs(records), ["a", "b"], "left_semi")
+    return found.agg(F.count("*").alias("matches")).crossJoin(kept.agg(F.count("*").alias("generated")))
+
+
+#: Row checks of a proposed change, in order; the first that fails rejects it.
+def gate(rows: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
+    """Adds rejected_by: the name of the first check that a row fails, null if it passes all."""
+    out = F.lit(None).cast("string")
+    for name, ok in reversed(checks):
+        out = F.when(~F.coalesce(ok, F.lit(False)), name).otherwise(out)
+    return rows.withColumn("rejected_by", out)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridfold.functions import columns as C
 from gridfold.operators import capture as K
-from gridfold.operators import choice, glm, linkage, metrics, siting
+from gridfold.operators import choice, glm, linkage, metrics, resample, siting
 from gridfold.plans.proximity import costs
 from gridfold.plans.registry import query
 from gridfold.plans.stand_ins import PLACES, places, sites, table
@@ -332,3 +332,61 @@ def mcnemar_of(backtest_row) -> float:
     return metrics.mcnemar_exact(backtest_row["only_size"], backtest_row["only_gap"])
 
 
+
+
+@query()
+def zone_merge(spark, sf_dir):
+    """Pairs of alternatives merged; the log likelihood at fixed coefficients moves only by the choice's own pair."""
+    a = alternatives(spark, sf_dir)
+    merged = resample.merge_zones(a, "decision", "alt", "chosen", COLUMNS)
+    score = lambda df: choice.probabilities(df, "decision", COLUMNS, BETA).filter("chosen").agg(F.avg(F.log("p")).alias("mean_log_p"), F.count("*").alias("decisions"))
+    return score(a).withColumn("zones", F.lit("single")).unionByName(score(merged).withColumn("zones", F.lit("pairs")))
+
+
+@query()
+def paired_resplits(spark, sf_dir):
+    """Arms on the same splits, a covariate's worth."""
+    return resample.ablation(alternatives(spark, sf_dir), "decision", "alt", "chosen", ["households", "land1"], "score1", repeats=2)
+
+
+@query()
+def covariate_selection(spark, sf_dir):
+    """Columns added while held-out decisions gain."""
+    a = alternatives(spark, sf_dir).withColumn("noise", (F.pmod(F.xxhash64("alt"), F.lit(100)) + 1).cast("double"))
+    added = resample.forward_selection(a, "decision", "alt", "chosen", ["households"], ["land1", "score1", "noise"])
+    return spark.createDataFrame([(k, c, v) for k, (c, v) in enumerate(added)], "step int, column string, mean_log_p double")
+
+
+@query()
+def auc_bootstrap(spark, sf_dir):
+    """Clustered bootstrap of the AUC."""
+    draws = resample.bootstrap_auc(_labelled(spark, sf_dir), "p", "y", "county_id", replicates=200)
+    return draws.agg(F.count("auc").alias("replicates"), F.percentile("auc", [0.025, 0.5, 0.975]).alias("q")).select("replicates", F.col("q")[0].alias("lower"), F.col("q")[1].alias("median"), F.col("q")[2].alias("upper"))
+
+
+@query()
+def boosted_choice(spark, sf_dir):
+    """Boosted trees as a benchmark."""
+    return resample.boosted_benchmark(alternatives(spark, sf_dir), "decision", "alt", "chosen", COLUMNS)
+
+
+@query("""WITH r AS (SELECT site, miles_gap FROM (SELECT s_suppkey AS site, s_suppkey % 9 AS miles_gap FROM supplier)) SELECT site, CASE WHEN site % 4 = 0 THEN 'schema' WHEN miles_gap > 6 THEN 'geocode' WHEN site % 5 = 1 THEN 'confidence' END AS rejected_by FROM r""")
+def mutation_gates(spark, sf_dir):
+    """Ordered gates; the first that fails is named."""
+    rows = sites(spark, sf_dir).select("site")
+    k = F.col("site")
+    return linkage.gate(rows, [("schema", k % 4 != 0), ("geocode", k % 9 <= 6), ("confidence", k % 5 != 1)])
+
+
+@query(f"""WITH {PLACES}, b AS (SELECT county_id, min(lat) AS y0, max(lat) AS y1, min(lon) AS x0, max(lon) AS x1 FROM places GROUP BY county_id) SELECT place, b.county_id AS area FROM places p JOIN b ON lat > y0 AND lat < y1 AND lon > x0 AND lon < x1""")
+def point_in_polygon(spark, sf_dir):
+    """Boxes of counties as polygons (a point on an edge belongs to neither side here: the boxes' corners are places themselves)."""
+    from gridfold.operators import geo
+
+    p = places(spark, sf_dir).select("place", "county_id", "lat", "lon")
+    b = p.groupBy("county_id").agg(F.min("lat").alias("y0"), F.max("lat").alias("y1"), F.min("lon").alias("x0"), F.max("lon").alias("x1"))
+    corner = lambda x, y: F.struct(F.col(x).alias("lon"), F.col(y).alias("lat"))
+    areas = b.select(F.col("county_id").alias("area"), F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1")).alias("vertices"), "y0", "y1", "x0", "x1")
+    inside = geo.in_polygons(p.select("place", "lat", "lon"), areas.select("area", "vertices"), "place", "area")
+    edges = p.select("place", "lat", "lon").join(inside, "place").join(F.broadcast(areas.drop("vertices")), "area")
+    return edges.filter("lat > y0 AND lat < y1 AND lon > x0 AND lon < x1").select("place", "area")

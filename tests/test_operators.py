@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridfold.operators import allocate, asof, capture, choice, cost, geo, glm, hazard, linkage, metrics, quality, siting
+from gridfold.functions import fields
+from gridfold.operators import allocate, asof, capture, choice, cost, geo, glm, hazard, linkage, metrics, quality, resample, siting
 from gridfold.operators.components import components
 from gridfold.operators.storage import shared_dir
 from gridfold.plans import panel
@@ -263,3 +264,43 @@ def test_allocate(spark):
     df = spark.createDataFrame([(1, 100.0), (2, 1.0), (3, 1.0), (4, 0.0)], "k int, s double")
     got = {r.k: r.p for r in allocate.allocate(df, "k", "s", 2.0).collect()}
     assert got[1] == pytest.approx(1, abs=1e-8) and got[2] == pytest.approx(0.5) and got[4] == pytest.approx(0, abs=1e-8)
+
+
+def test_point_in_polygon(spark):
+    star = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 1.0), (0.0, 4.0)]
+    poly = spark.createDataFrame([("star", star)], "name string, vertices array<struct<lon:double,lat:double>>")
+    pts = spark.createDataFrame([(1, 2.0, 0.5), (2, 2.0, 3.0), (3, 0.5, 3.0), (4, 9.0, 9.0)], "p int, lon double, lat double")
+    assert sorted(r.p for r in geo.in_polygons(pts, poly, "p", "name").collect()) == [1, 3]
+
+
+def test_splits_are_whole_and_exact(spark):
+    df = spark.range(1000).select((F.col("id") % 100).alias("unit"))
+    exact = resample.split_exact(df, "unit", {"train": 0.6, "calibrate": 0.2, "test": 0.2}, seed=2)
+    assert {r.split: r.n for r in exact.groupBy("split").agg(F.count_distinct("unit").alias("n")).collect()} == {"train": 60, "calibrate": 20, "test": 20}
+    loose = resample.split(df, "unit", {"a": 0.5, "b": 0.5})
+    assert loose.groupBy("unit").agg(F.count_distinct("split").alias("n")).filter("n > 1").isEmpty()
+
+
+def test_zone_merge_keeps_utilities(spark):
+    df = spark.createDataFrame([(1, j, j == 2, float(j + 1)) for j in range(5)], "d long, alt long, chosen boolean, a double")
+    got = resample.merge_zones(df, "d", "alt", "chosen", ["a"])
+    assert sorted((r.alt, r.chosen, r.a) for r in got.collect()) == [(0, False, 3.0), (1, True, 7.0), (2, False, 5.0)]
+
+
+def test_gates_and_audit(spark):
+    rows = spark.createDataFrame([(1, 5), (2, None), (3, 50)], "k int, v int")
+    got = {r.k: r.rejected_by for r in linkage.gate(rows, [("known", F.col("v").isNotNull()), ("small", F.col("v") < 10)]).collect()}
+    assert got == {1: None, 2: "known", 3: "small"}
+    r = _links(spark, [(1, "100 MAIN ST", "X", "CA", "90001", ""), (2, "100 MAIN STREET", "X", "CA", "90001", "")])
+    audit = linkage.blocking_audit(r).first()
+    assert (audit.matches, audit.generated) == (1, 1)
+
+
+def test_fields(spark):
+    df = spark.createDataFrame([("opened Sept 2019, expanded March 2021",), ("Q3 2018",), ("2017",), ("soon",)], "t string")
+    got = [tuple(r) for r in df.select(*[c.alias(k) for k, c in fields.text_date(F.col("t")).items()]).collect()]
+    assert got == [(2021, 9, 3, "month"), (2018, None, 3, "quarter"), (2017, None, None, "year"), (None, None, None, "none")]
+    row = spark.range(1).select(fields.floor_area(F.lit("1,020,000 sq ft")).alias("a"), fields.floor_area(F.lit("1.2 million")).alias("b"), fields.facility_code(F.lit("site BFI4 ")).alias("c"), fields.repaired_state(F.lit("0H"), ["OH", "IL"]).alias("d")).first()
+    assert tuple(row) == (1020000.0, 1200000.0, "BFI4", "OH")
+    cells = spark.createDataFrame([(0, "BFI4"), (0, "DWS4"), (1, "855,000"), (2, "WA"), (2, "OH")], "column int, text string")
+    assert fields.identify_columns(cells) == {"code": 0, "sqft": 1, "state": 2}

@@ -76,3 +76,21 @@ def test_registry(spark, tmp_path):
     assert len(registry.summary()) == len(registry.SOURCES)
     sinks.write_csv(spark.range(2), str(tmp_path / "csv"))
     assert '"run_id": "r"' in sinks.stamped({"x": 1}, "r")
+
+
+def test_fetch_caches_and_retries(tmp_path):
+    from gridfold.sources.http import fetch
+
+    calls = []
+
+    def opener(url, timeout):
+        calls.append(url)
+        if len(calls) == 1:
+            raise OSError("once")
+        return b"zip bytes", "application/zip"
+
+    path = fetch("http://x/a.zip", str(tmp_path), expect="zip", wait=0, opener=opener)
+    assert path.read_bytes() == b"zip bytes" and fetch("http://x/a.zip", str(tmp_path), opener=opener) == path and len(calls) == 2
+    with pytest.raises(ValueError):
+        fetch("http://x/b.zip", str(tmp_path), expect="zip", opener=lambda u, t: (b"<html>", "text/html"))
+    assert len((tmp_path / "manifest.jsonl").read_text().splitlines()) == 1
