@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +77,13 @@ def evaluate(places: DataFrame, p: CostParameters = BASELINE) -> DataFrame:
     return places.drop("hourly")
 
 
+def sweep(places: DataFrame, scenarios: dict[str, CostParameters]) -> DataFrame:
+    """Every place under every scenario, in one pass: parameters are columns of a broadcast row per scenario."""
+    rows = places.sparkSession.createDataFrame([{"scenario": k, **{n: float(v) for n, v in asdict(p).items()}} for k, p in scenarios.items()])
+    names = list(asdict(BASELINE))
+    return evaluate(places.crossJoin(F.broadcast(rows)), CostParameters(**{n: F.col(n) for n in names})).drop(*names)
+
+
 def fleet(costs: DataFrame) -> DataFrame:
     """Vans of a whole network: rounded up once, over the sum."""
     return costs.agg(F.ceil(F.sum("van_days")).alias("vans"))

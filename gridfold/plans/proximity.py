@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridfold.functions import columns as C
 from gridfold.functions.ordered import smallest_mode
 from gridfold.operators import geo
-from gridfold.operators.cost import BASELINE, SCENARIOS, CostParameters, evaluate
+from gridfold.operators.cost import BASELINE, SCENARIOS, CostParameters, evaluate, sweep
 from gridfold.plans.panel import dim_quarter_of
 from gridfold.plans.registry import query
 from gridfold.plans.stand_ins import PLACES, SITES, miles_sql, places, sites
@@ -174,8 +172,8 @@ def cost_to_serve(spark, sf_dir):
 @query(f"{BASE}, {NEAREST}, " + ", ".join(_cost_sql(k, p) for k, p in SCENARIOS.items()) + ", m AS (" + " UNION ALL ".join(f"SELECT '{k}' AS scenario, quantile_cont(cost_per_parcel, 0.5) AS med, sum(cost_per_stop * daily_stops) AS daily_cost FROM {k}" for k in SCENARIOS) + ") SELECT scenario, round(med, 6) AS median_cost, round(daily_cost, 2) AS daily_cost, round(med / (SELECT med FROM m WHERE scenario = 'baseline'), 6) AS to_baseline FROM m")
 def cost_scenarios(spark, sf_dir):
     """The scenario sweep against the baseline."""
-    parts = [costs(spark, sf_dir, p).agg(F.lit(k).alias("scenario"), F.median("cost_per_parcel").alias("med"), F.sum("daily_cost").alias("daily_cost")) for k, p in SCENARIOS.items()]
-    m = reduce(lambda a, b: a.unionByName(b), parts)
+    near = geo.nearest(places(spark, sf_dir), sites(spark, sf_dir).select("site", "site_lat", "site_lon"), "place", "site").withColumnRenamed("miles", "linehaul")
+    m = sweep(near, SCENARIOS).groupBy("scenario").agg(F.median("cost_per_parcel").alias("med"), F.sum("daily_cost").alias("daily_cost"))
     base = F.max(F.when(F.col("scenario") == "baseline", F.col("med"))).over(Window.partitionBy(F.lit(1)))
     return m.withColumn("base", base).select("scenario", F.round("med", 6).alias("median_cost"), F.round("daily_cost", 2).alias("daily_cost"), F.round(F.col("med") / F.col("base"), 6).alias("to_baseline"))
 

@@ -228,13 +228,14 @@ def rolling_eval(spark, sf_dir):
     return spark.createDataFrame(out, "year int, method string, auc double, brier double, rate double, skill double")
 
 
-@query()
+@query(f"""WITH {PLACES}, s AS (SELECT county_id, sum(households) AS score FROM places GROUP BY county_id), r AS (SELECT score, (8.0 - (row_number() OVER (ORDER BY score DESC, county_id) - 1)) / sum(score) OVER (ORDER BY score, county_id DESC ROWS UNBOUNDED PRECEDING) AS unit FROM s),
+  u AS (SELECT arg_max(unit, score) AS unit FROM r WHERE score * unit <= 1) SELECT county_id, score, round(greatest(1e-9, least(1 - 1e-9, score * u.unit)), 8) AS p FROM s, u""")
 def allocation(spark, sf_dir):
     """Expected events spread over counties in proportion to a score, none above one."""
     from gridfold.operators.allocate import allocate
 
-    rows = places(spark, sf_dir).groupBy("county_id").agg(F.sum("households").alias("score"), F.count("*").alias("n"))
-    return allocate(rows, "county_id", "score", 8.0)
+    rows = places(spark, sf_dir).groupBy("county_id").agg(F.sum("households").alias("score"))
+    return allocate(rows, "county_id", "score", 8.0).withColumn("p", F.round("p", 8))
 
 
 @query()
