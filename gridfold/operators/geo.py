@@ -38,6 +38,12 @@ def radius_join(left: DataFrame, right: DataFrame, miles: float, *, a=("lat", "l
     return pairs.filter(F.col(distance) <= miles).drop("_band", "_cell")
 
 
+def all_pairs(left: DataFrame, sites: DataFrame, *, broadcast_sites: int = BROADCAST_SITES, radius: float = RADIUS_COST) -> DataFrame:
+    """Every left row with every site and their distance, for sums over all sites. Few sites (counted) are broadcast, more are not."""
+    few = sites.limit(broadcast_sites + 1).count() <= broadcast_sites
+    return left.crossJoin(F.broadcast(sites) if few else sites).withColumn("miles", haversine("lat", "lon", "site_lat", "site_lon", radius))
+
+
 def nearest(left: DataFrame, sites: DataFrame, key: str, site: str, *, other: Column | None = None, radius: float = RADIUS_COST, broadcast_sites: int = BROADCAST_SITES, first_miles: float = 10.0) -> DataFrame:
     """Each left row's nearest site (column site) and its distance; of equally near ones the smallest. Rows without any get nulls.
 

@@ -138,7 +138,7 @@ def vintage_bridge(spark, sf_dir):
 
     s = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_nationkey") % 5 != 0, F.col("c_nationkey")).alias("own"), F.col("c_mktsegment").alias("legacy"))
     modal = smallest_mode(s, ["legacy"], "own", "modal")
-    return s.join(F.broadcast(modal), "legacy", "left").select("c_custkey", F.coalesce("own", "modal").cast("int").alias("region"), F.when(F.col("own").isNotNull(), "own").otherwise("modal").alias("region_source")).filter("region IS NOT NULL")
+    return s.join(modal, "legacy", "left").select("c_custkey", F.coalesce("own", "modal").cast("int").alias("region"), F.when(F.col("own").isNotNull(), "own").otherwise("modal").alias("region_source")).filter("region IS NOT NULL")
 
 
 @query("""SELECT l_orderkey, arg_min(l_partkey, (-l_extendedprice, l_linenumber)) AS dominant_part, max(l_extendedprice) AS share FROM lineitem GROUP BY l_orderkey""")

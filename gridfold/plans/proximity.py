@@ -101,7 +101,7 @@ def white_space_backtest(spark, sf_dir):
 def network_vintages(spark, sf_dir):
     """The network as of each year, seen from all places of a county."""
     p = places(spark, sf_dir).select("place", "county_id", "lat", "lon")
-    pairs = p.join(F.broadcast(sites(spark, sf_dir)), F.lit(True)).withColumn("miles", C.haversine("lat", "lon", "site_lat", "site_lon"))
+    pairs = geo.all_pairs(p, sites(spark, sf_dir))
     rows = pairs.withColumn("vintage", F.explode(F.sequence(F.greatest(F.lit(2016).cast("long"), "open_year"), F.lit(2022).cast("long"))))
     kind = lambda k: F.round(F.min(F.when(F.col("kind") == k, F.col("miles"))), 6)
     return rows.groupBy("county_id", "vintage").agg(kind("SC").alias("nearest_sc"), kind("FC").alias("nearest_fc"), F.count_distinct(F.when(F.col("miles") <= 50, F.col("site"))).alias("within_50"))
@@ -110,7 +110,7 @@ def network_vintages(spark, sf_dir):
 @query(f"{BASE} SELECT place, " + ", ".join(f"round(sum(CASE WHEN kind = '{k}' THEN {m} / pow(1 + miles, {a}) ELSE 0 END), 6) AS {k.lower()}_{n}_{str(a).replace('.', '')}" for k in ("FC", "SC") for n, m in (("count", "1"), ("mass", "mass")) for a in (0.5, 1.0, 2.0)) + " FROM pairs GROUP BY place")
 def gravity_terms(spark, sf_dir):
     """C21 F13."""
-    pairs = places(spark, sf_dir).select("place", "lat", "lon").join(F.broadcast(sites(spark, sf_dir)), F.lit(True)).withColumn("miles", C.haversine("lat", "lon", "site_lat", "site_lon"))
+    pairs = geo.all_pairs(places(spark, sf_dir).select("place", "lat", "lon"), sites(spark, sf_dir))
     terms = [F.round(F.sum(F.when(F.col("kind") == k, m * C.inverse_decay("miles", a)).otherwise(0.0)), 6).alias(f"{k.lower()}_{n}_{str(a).replace('.', '')}") for k in ("FC", "SC") for n, m in (("count", F.lit(1.0)), ("mass", F.col("mass"))) for a in (0.5, 1.0, 2.0)]
     return pairs.groupBy("place").agg(*terms)
 

@@ -389,5 +389,5 @@ def point_in_polygon(spark, sf_dir):
     corner = lambda x, y: F.struct(F.col(x).alias("lon"), F.col(y).alias("lat"))
     areas = b.select(F.col("county_id").alias("area"), F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1")).alias("vertices"), "y0", "y1", "x0", "x1")
     inside = geo.in_polygons(p.select("place", "lat", "lon"), areas.select("area", "vertices"), "place", "area")
-    edges = p.select("place", "lat", "lon").join(inside, "place").join(F.broadcast(areas.drop("vertices")), "area")
+    edges = p.select("place", "lat", "lon").join(inside, "place").join(areas.drop("vertices"), "area")
     return edges.filter("lat > y0 AND lat < y1 AND lon > x0 AND lon < x1").select("place", "area")
