@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridfold.llm._common import U64, Words, bounded_batches, column, gram_hashes, materialise, mix, shared_dir, slices
+from gridfold.llm._common import U64, Words, bounded_batches, column, gram_hashes, materialise, mix, n_shuffle, shared_dir, slices
 from gridfold.operators.components import components
 
 SHINGLE, BANDS, ROWS = 5, 36, 6
 SIMILARITY = 85
 #: Direct comparisons, as a multiple of the members of open buckets, from which another star round is tried first; and rounds.
 STAR_OVER, STAR_ROUNDS = 8, 4
+#: Documents that a task should have at least, where tables are light.
+DOCS_PER_TASK = 20_000
 
 
 def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> list[np.ndarray]:
@@ -102,7 +104,7 @@ def sketched(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, n: int = SHI
     return docs.mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: int, n: int = SHINGLE) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, similarity: int, n: int, tasks: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -118,7 +120,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: int, n: int = SHING
             yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], schema=schema).filter(pa.array(keep, pa.bool_()))
 
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("b"), "b").coalesce(tasks).join(side("a"), "a").select("a", "b", "text_a", "text_b").coalesce(tasks).mapInArrow(run, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, *, similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE) -> DataFrame:
@@ -131,28 +133,32 @@ def near_dedup(docs: DataFrame, *, similarity: int = SIMILARITY, bands: int = BA
     folder = shared_dir(spark, "near-dedup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sketches = materialise(sketched(docs, bands, rows, n), f"{folder}/sketches")
+    # light tables get as many tasks as their documents need, not as many as texts do
+    tasks = min(n_shuffle(spark), max(8, sketches.count() // DOCS_PER_TASK))
+    written = lambda df, name: materialise(df.coalesce(tasks), f"{folder}/{name}")
     known = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialise(known.groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep")), f"{folder}/classes")
-    reps = known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    classes = written(known.groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").coalesce(tasks)
     members = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter("n > 1")
-    members = materialise(members.join(shared, "bucket"), f"{folder}/members")
+    members = written(members.join(shared, "bucket"), "members")
     wanted = docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = materialise(wanted.groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(sketches) else wanted, f"{folder}/texts")
+    texts = written(wanted.groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(sketches) else wanted, "texts")
 
     def check(pairs: DataFrame, name: str) -> DataFrame:
-        return materialise(verified(pairs, texts, similarity, n), f"{folder}/{name}")
+        return materialise(verified(pairs, texts, similarity, n, tasks), f"{folder}/{name}")
 
-    tested = materialise(members.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), f"{folder}/tested-0")
+    tested = written(members.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "tested-0")
     links = check(tested, "links-0")
     final = None
     for step in range(1, STAR_ROUNDS + 2):
-        found = final = materialise(components(links, f"{folder}/components-{step}"), f"{folder}/labels-{step}") if not links.isEmpty() else None
+        found = final = written(components(links, f"{folder}/components-{step}"), f"labels-{step}") if not links.isEmpty() else None
         labelled = members.select("bucket", "node", "size")
         labelled = labelled.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")) if found is not None else labelled.withColumn("component", F.col("node"))
+        labelled = labelled.coalesce(tasks)
         spread = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min_by("node", F.xxhash64("node", F.lit(step))).alias("pivot")).filter("least <> most")
-        open_ = materialise(labelled.join(spread.select("bucket", "pivot"), "bucket"), f"{folder}/open-{step}")
-        sizes = open_.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        open_ = written(labelled.join(spread.select("bucket", "pivot"), "bucket"), f"open-{step}")
+        sizes = open_.groupBy("bucket", "component").agg(F.count("*").alias("n")).coalesce(tasks).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
         n_members, n_pairs = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()
         if not n_members:
             break
@@ -162,7 +168,7 @@ def near_dedup(docs: DataFrame, *, similarity: int = SIMILARITY, bands: int = BA
             pairs = x.join(y, "bucket").filter((F.col("a") > F.col("b")) & (F.col("of_a") != F.col("of_b")) & (100 * F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b")))
         else:
             pairs = open_.filter("node <> pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"))
-        new = materialise(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), f"{folder}/tested-{step}")
+        new = written(pairs.select("a", "b").coalesce(tasks).distinct().join(tested, ["a", "b"], "left_anti"), f"tested-{step}")
         tested = tested.unionByName(new)
         more = check(new, f"links-{step}")
         if not more.isEmpty():
@@ -171,7 +177,7 @@ def near_dedup(docs: DataFrame, *, similarity: int = SIMILARITY, bands: int = BA
             continue
         if last:
             break
-    whole = sketches.join(classes, ["c1", "c2", "n_shingles"], "left").select("doc_id", "n_shingles", "rep")
+    whole = sketches.join(classes, ["c1", "c2", "n_shingles"], "left").select("doc_id", "n_shingles", "rep").coalesce(tasks)
     if final is None and not links.isEmpty():
         final = components(links, f"{folder}/components")
     if final is not None:
