@@ -5,7 +5,7 @@ has T coordinates. Round i < T throws every shingle into a hashed bin with the v
 shingles into bin i - T; a document stops after the round in which its last bin was filled, so every coordinate is filled
 and a coordinate of two documents agrees with the probability of their similarity, concentrated as for independent
 coordinates. BANDS bands of ROWS coordinates are the buckets: at a similarity of 0.85 a pair shares no bucket with
-probability (1 - 0.85^6)^36 < 5e-8.
+probability (1 - 0.85^10)^70 < 3e-7; at 0.5 it shares one with probability 0.07.
 
 Documents of equal sets are one class and go on as their smallest doc_id. Pairs are not all emitted: in a star round every
 member of a bucket is verified against one member; found links are contracted to components, and only pairs of one bucket
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from gridfold.llm._common import U64, Words, bounded_batches, column, gram_hashes, materialise, mix, n_shuffle, shared_dir, slices
 from gridfold.operators.components import components
 
-SHINGLE, BANDS, ROWS = 5, 36, 6
+SHINGLE, BANDS, ROWS = 5, 70, 10
 SIMILARITY = 85
 #: Direct comparisons, as a multiple of the members of open buckets, from which another star round is tried first; and rounds.
 STAR_OVER, STAR_ROUNDS = 8, 4
