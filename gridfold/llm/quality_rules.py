@@ -5,7 +5,8 @@ a vector of transformed statistics (VECTOR). For each (lang, source), each lang
 from medians and quartiles and are refined by concentration steps: keep the share H of rows with the least Mahalanobis
 distance, estimate anew. The scatter is corrected for the share left out and floored per statistic (FLOORS), since a
 statistic may be constant in a group. A document is judged by its (lang, source) if that has LEAST rows, else by its lang,
-else by all rows; it is rejected where its squared distance exceeds the chi-squared quantile CUT.
+else by all rows; it is rejected where its squared distance exceeds the chi-squared quantile CUT: of rows that are normal about
+their group's location, one in 10,000 goes, and fewer where the floors are wider than the group.
 
 Null texts have no words; texts without words fail the base rules. Null lang and source are groups of their own. Repeated
 rows count each. Ties at the share's edge are all kept. Empty tables give no rows. Hot groups: all estimates are sums and
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from gridfold.llm._common import WORD, materialise, shared_dir
 
 #: Share of rows in a concentration step, steps, least rows of a group that judges its own, and the quantile beyond which rows go.
-H, STEPS, LEAST, CUT = 0.75, 3, 200, 1 - 1e-7
+H, STEPS, LEAST, CUT = 0.75, 3, 200, 1 - 1e-4
 MIN_WORDS, MOST_REPEATED = 10, 20
 SYMBOLS = "[#*$%&|<>]"
 VECTOR = ("log_words", "word_length", "symbol_share", "upper_share", "line_share")

@@ -230,6 +230,21 @@ def test_quality_rules_estimates(spark):
     assert np.mean([out[k].kept for k in range(300) if k % 5]) > 0.99
 
 
+def test_quality_rules_reject_moderate_outliers(spark):
+    """Outliers beyond the quantile 1 - 1e-4 but within 1 - 1e-7 go; the others of their group stay."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(300):
+        words_ = ["w" * int(rng.integers(4, 8)) + str(rng.integers(100, 1000)) for _ in range(int(rng.integers(60, 140)))]
+        # a bar after eight of ten words
+        rows.append((k, " ".join(w + "|" * (k % 20 == 0 and j % 10 < 8) for j, w in enumerate(words_)), "en", "s", 0, 1, False, "", 0.0))
+    out = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, rows), least=50).collect()}
+    lo, hi = (quality_rules.chi2_quantile(1 - q, 5) for q in (1e-4, 1e-7))
+    assert all(lo < out[k].distance < hi for k in range(0, 300, 20))
+    assert not any(out[k].kept for k in range(0, 300, 20))
+    assert np.mean([out[k].kept for k in range(300) if k % 20]) > 0.99
+
+
 def test_chi2():
     assert abs(quality_rules.chi2_quantile(0.75, 5) - 6.6257) < 1e-3
     assert abs(quality_rules.chi2_cdf(11.0705, 5) - 0.95) < 1e-5
