@@ -2,14 +2,16 @@
 
 DataFrame functions only. One pass over the texts counts; everything after works on a light table of counts. Counts become
 a vector of transformed statistics (VECTOR). For each (lang, source), each lang and for all rows, location and scatter start
-from medians and quartiles and are refined by concentration steps: keep the share H of rows with the least Mahalanobis
-distance, estimate anew. The scatter is corrected for the share left out and floored per statistic (FLOORS), since a
-statistic may be constant in a group. A document is judged by its (lang, source) if that has LEAST rows, else by its lang,
-else by all rows; it is rejected where its squared distance exceeds the chi-squared quantile CUT: of rows that are normal about
-their group's location, one in 10,000 goes, and fewer where the floors are wider than the group.
+from medians and quartiles and are refined by concentration steps: keep the share H of vectors with the least Mahalanobis
+distance, estimate anew. Equal vectors of a group count once in its estimates, and H is one half, so that neither copies nor
+near copies of one page that hold a third of a group become its normal case. The scatter is corrected for the share left out
+and floored per statistic (FLOORS), since a statistic may be constant in a group. A document is judged by its (lang, source)
+if that has LEAST vectors, else by its lang, else by all rows; it is rejected where its squared distance exceeds the
+chi-squared quantile CUT: of rows that are normal about their group's location, one in 10,000 goes, and fewer where the
+floors are wider than the group.
 
 Null texts have no words; texts without words fail the base rules. Null lang and source are groups of their own. Repeated
-rows count each. Ties at the share's edge are all kept. Empty tables give no rows. Hot groups: all estimates are sums and
+rows are judged each. Ties at the share's edge are all kept. Empty tables give no rows. Hot groups: all estimates are sums and
 sketches that tasks combine before the exchange.
 """
 
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 from gridfold.llm._common import WORD, materialise, shared_dir
 
-#: Share of rows in a concentration step, steps, least rows of a group that judges its own, and the quantile beyond which rows go.
-H, STEPS, LEAST, CUT = 0.75, 3, 200, 1 - 1e-4
+#: Share of vectors in a concentration step, steps, least distinct vectors of a group that judges its own, and the quantile beyond which rows go.
+H, STEPS, LEAST, CUT = 0.5, 3, 200, 1 - 1e-4
 MIN_WORDS, MOST_REPEATED = 10, 20
 SYMBOLS = "[#*$%&|<>]"
 VECTOR = ("log_words", "word_length", "symbol_share", "upper_share", "line_share")
@@ -152,9 +154,10 @@ def _distance() -> Column:
 
 
 def estimate(vectors: DataFrame, folder: str, steps: int = STEPS) -> DataFrame:
-    """Minimum-covariance-determinant location and inverse root scatter of every group, with its number of rows."""
+    """Minimum-covariance-determinant location and inverse root scatter of every group, with its number of distinct vectors (rows)."""
     p = range(len(VECTOR))
-    levels = _levels(vectors).select("group", *VECTOR)
+    # copies count once; the distinct vectors are read by every step
+    levels = materialise(_levels(vectors).select("group", *VECTOR).distinct(), f"{folder}/levels")
     quartiles = levels.groupBy("group").agg(F.count("*").alias("rows"), *[F.percentile_approx(c, [0.25, 0.5, 0.75]).alias(f"q_{i}") for i, c in enumerate(VECTOR)])
     first = {f"m_{i}": F.col(f"q_{i}")[1] for i in p}
     for i in p:

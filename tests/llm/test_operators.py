@@ -245,6 +245,21 @@ def test_quality_rules_reject_moderate_outliers(spark):
     assert np.mean([out[k].kept for k in range(300) if k % 20]) > 0.99
 
 
+def test_quality_rules_reject_copied_outliers(spark):
+    """A third of a group: exact copies of one outlier (source s), near copies of it (source t)."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(600):
+        source, junk = "st"[k % 2], k % 3 == 0
+        n = 100 if junk and source == "s" else int(rng.integers(95, 105) if junk else rng.integers(60, 140))
+        text = " ".join("$$$$$" if junk and j % 2 else "w" * (4 if junk else int(rng.integers(2, 8))) + str(j if junk else rng.integers(1000)) for j in range(n))
+        rows.append((k, text, "en", source, 0, 1, False, "", 0.0))
+    out = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, rows), least=50).collect()}
+    assert not any(r.base_failed for r in out.values())
+    assert not any(out[k].kept for k in range(0, 600, 3))
+    assert np.mean([out[k].kept for k in range(600) if k % 3]) > 0.99
+
+
 def test_chi2():
     assert abs(quality_rules.chi2_quantile(0.75, 5) - 6.6257) < 1e-3
     assert abs(quality_rules.chi2_cdf(11.0705, 5) - 0.95) < 1e-5
