@@ -18,6 +18,9 @@ from gridfold.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
 from gridfold.llm._common import materialise, shared_dir
 from gridfold.llm.queries import tokenizer_path
 
+#: Similarity of near copies in the corpus, in hundredths; a pair at 0.80 shares no band with probability (1 - 0.8^10)^110 < 4e-6.
+NEAR, NEAR_BANDS, NEAR_ROWS = 80, 110, 10
+
 
 def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The rows whose doc_id a verdict keeps; rows without doc_id stay where their verdict says so."""
@@ -41,7 +44,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return _keep(docs, near_dedup.near_dedup(docs))
+    return _keep(docs, near_dedup.near_dedup(docs, similarity=NEAR, bands=NEAR_BANDS, rows=NEAR_ROWS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

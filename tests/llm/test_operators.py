@@ -470,3 +470,17 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert packed and json.dumps([r.doc_id for r in packed])
     frame(spark, []).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_pipeline_near_stage_takes_pairs_from_80(spark):
+    """Pairs at 79 to 86 hundredths, against brute force at 80."""
+    import corpus_pipeline
+
+    rows = []
+    for k in range(30):
+        w = [f"d{k}w{j}" for j in range(100 + k)]
+        rows += [(2 * k, " ".join(w), "en", "s", 0, 1, False, "", 0.0), (2 * k + 1, " ".join(w[: len(w) - 8 - k % 15] + [f"x{k}"] * 3), "en", "s", 0, 1, False, "", 0.0)]
+    want = {c for _, _, c in near_by_force(rows, 80)}
+    assert len(want) < len({c for _, _, c in near_by_force(rows, 85)}) and len(want) > 30
+    near = corpus_pipeline.near_stage(spark, frame(spark, rows), "").collect()
+    assert {r.doc_id for r in near} == want
