@@ -6,7 +6,7 @@ A stage's decisions take effect: documents that it rejects are gone for the next
 
 Nulls, empty and long texts, ties, repeated rows and empty tables: as the operators define. A stage joins its verdicts to the
 rows by doc_id; rows that share a doc_id share the verdict of the first row of that id (least of keep and drop: they stay if
-any of them does). Rows without a doc_id pass the dedup stages unchanged.
+any of them does), but in exact dedup each has the verdict of its own text. Rows without a doc_id pass the dedup stages unchanged.
 """
 
 from __future__ import annotations
@@ -34,12 +34,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays; of several rows of its doc_id, one."""
+    """One document of each group of equal texts stays; of equal texts under its doc_id, that with the most code points, then the greatest row."""
     verdicts = materialise(exact_dedup.exact_dedup(docs), f"{shared_dir(spark, 'exact-stage')}/verdicts")
     rows = _keep(docs, verdicts)
-    if verdicts.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+    if verdicts.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         return rows
-    return rows.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(rows.filter("doc_id IS NULL"))
+    # rows of one doc_id may have different texts: each follows the verdict of its own text
+    kept = verdicts.filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_digest")).distinct()
+    known = rows.filter("doc_id IS NOT NULL").withColumn("_digest", F.sha2(exact_dedup.content(F.col("text")), 256))
+    known = known.join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.col("_digest") == F.col("kept_digest")), "left_semi")
+    row = F.struct(F.length(F.coalesce("text", F.lit(""))).alias("_points"), *docs.columns)
+    best = known.groupBy("doc_id", "_digest").agg(F.max(row).alias("_row")).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    return best.unionByName(rows.filter("doc_id IS NULL"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -484,3 +484,12 @@ def test_pipeline_near_stage_takes_pairs_from_80(spark):
     assert len(want) < len({c for _, _, c in near_by_force(rows, 85)}) and len(want) > 30
     near = corpus_pipeline.near_stage(spark, frame(spark, rows), "").collect()
     assert {r.doc_id for r in near} == want
+
+
+def test_pipeline_exact_stage_keeps_other_texts_of_a_doc_id(spark):
+    import corpus_pipeline
+
+    texts = [(5, "one text"), (5, "one  text"), (6, "one text"), (5, "another text"), (4, "third"), (5, "third"), (7, None), (None, "no id")]
+    rows = [(k, text, "en", "s", 0, 1, False, "", 0.0) for k, text in texts]
+    left = corpus_pipeline.exact_stage(spark, frame(spark, rows), "").collect()
+    assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted([(5, "one  text"), (5, "another text"), (4, "third"), (7, None), (None, "no id")], key=str)
