@@ -119,21 +119,21 @@ def shingles(text):
 
 
 def near_by_force(rows, least=85):
-    sets = {r[0]: shingles(r[1]) for r in rows if r[0] is not None}
-    ids = sorted(sets)
-    root = {i: i for i in ids}
+    """Rows of one doc_id are one document; a link of any of its texts is its link."""
+    sets = [(r[0], shingles(r[1])) for r in rows if r[0] is not None]
+    root = {i: i for i, _ in sets}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i in ids:
-        for j in ids:
-            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+    for k, (i, x) in enumerate(sets):
+        for j, y in sets[:k]:
+            if find(i) != find(j) and x and y and 100 * len(x & y) >= least * len(x | y):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    return [(r[0], len(shingles(r[1])), None if r[0] is None else find(r[0])) for r in rows]
+    return [(r[0], len(shingles(r[1])), None if r[0] is None else (find(r[0]) if shingles(r[1]) else r[0])) for r in rows]
 
 
 def test_near_dedup(spark, docs, empty):
@@ -156,6 +156,49 @@ def test_near_dedup_chains_and_stragglers(spark):
     assert sorted((tuple(r[:3]) for r in got), key=str) == sorted(near_by_force(rows), key=str)
 
 
+def test_near_dedup_texts_that_share_a_doc_id(spark):
+    a, b = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(60)]
+    texts = [(5, a), (5, b), (7, [*b[:-1], "other"]), (9, [*a, "q"]), (11, ["none", *a[:30]]), (5, b), (5, [])]
+    rows = [(k, " ".join(w), "en", "s", 0, 1, False, "", 0.0) for k, w in texts]
+    got = near_dedup.near_dedup(frame(spark, rows)).collect()
+    assert sorted(tuple(r[:3]) for r in got) == sorted(near_by_force(rows))
+    assert {r.doc_id: r.component_id for r in got} == {5: 5, 7: 5, 9: 5, 11: 11}
+
+
+@pytest.mark.parametrize("block, over", [(256, 8), (8, 0)])
+def test_near_dedup_group_of_near_copies(spark, monkeypatch, block, over):
+    """Copies about the threshold, a passage that many texts share, texts of one set; in one block and in many."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BEST_OVER", over)
+    rng = np.random.default_rng(7)
+    body = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(120):
+        w = list(body)
+        for j in rng.choice(120, rng.integers(0, 5), replace=False):
+            w[j] = f"x{k}y{j}"
+        rows.append((3 * k, " ".join(w)))
+        own = [f"o{k}v{j}" for j in range(int(rng.integers(5, 200)))]
+        rows.append((3 * k + 1, " ".join([*body[:40], *own])))
+        if k % 3 == 0:
+            rows.append((3 * k + 2, "  ".join(w).upper()))
+    rows = [(k, text, "en", "s", 0, 1, False, "", 0.0) for k, text in rows]
+    for least, more in ((85, {}), (80, {"similarity": 80, "bands": 110})):
+        got = near_dedup.near_dedup(frame(spark, rows), **more).collect()
+        want = near_by_force(rows, least)
+        assert sorted(tuple(r[:3]) for r in got) == sorted(want)
+        assert 60 < len({c for _, _, c in want}) < 240
+
+
+def test_least_agreement_keeps_linked_pairs():
+    rng = np.random.default_rng(11)
+    least = near_dedup.least_agreement(700, 0.85)
+    assert 500 < least < 560
+    pool = rng.integers(0, 1 << 63, (200, 230)).astype(np.uint64)
+    s = near_dedup.fast_similarity_sketch([x for p in pool for x in (p[:215], p[15:])], 700).astype(np.uint8)
+    assert (s[::2] == s[1::2]).sum(axis=1).min() >= least
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(5)
     pool = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
