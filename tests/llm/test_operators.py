@@ -427,6 +427,29 @@ def test_lgamma():
     assert np.allclose(ctw.lgamma(x), [math.lgamma(v) for v in x], rtol=1e-10, atol=1e-10)
 
 
+def test_lm_scoring_in_pieces_and_by_join(spark):
+    """Small slices and chunks, and a joined model, score as one slice and a loaded model do."""
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdeé"), rng.integers(1, 9)))
+    texts = [" ".join(word() for _ in range(int(rng.integers(0, 300)))) for _ in range(60)] + ["x" * 5000, " ".join(word() for _ in range(4000)), None, ""]
+    table = frame(spark, [(k, t, "en", "s", 0, 1, False, "", 0.0) for k, t in enumerate(texts)])
+    want = {r.doc_id: r for r in ctw.score(table).collect()}
+    for more in ({"held": 500, "most": 700}, {"mapped": 0, "held": 2000, "most": 3000}):
+        got = ctw.score(table, **more).collect()
+        assert len(got) == len(texts)
+        for r in got:
+            w = want[r.doc_id]
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.n_bytes) == (w.held_out, w.n_tokens, w.n_known, w.train_tokens, w.n_bytes)
+            assert r.n_bytes == len((texts[r.doc_id] or "").encode())
+            assert abs(r.score - w.score) < 1e-3 and abs(r.base_score - w.base_score) < 1e-6 and abs(r.bits_per_byte - w.bits_per_byte) < 1e-3
+
+
+def test_lm_places_keep_every_bit():
+    keys = np.random.default_rng(1).integers(0, 1 << 48, 1000)
+    assert (ctw.unplaced(ctw.placed(keys, 5), 5) == keys).all()
+    assert (ctw.placed(keys, 5) >> 32 == keys >> 8 & 0xFFFF).all() and (ctw.placed(keys, 5) >> 24 & 255 == keys >> 24 & 255).all()
+
+
 def test_lm_scoring(docs, empty):
     got = ctw.score(docs).collect()
     held = lambda r: zlib.crc32(str(r[0] if r[0] is not None else "").encode()) % 7 == 2
