@@ -4,9 +4,10 @@ STAGES lists (name, function); each function takes (spark, docs, sf_dir) and ret
 Parquet to the shared folder and reads again as the next stage's docs. All stages but the last return the columns of docs.
 A stage's decisions take effect: documents that it rejects are gone for the next.
 
-Nulls, empty and long texts, ties, repeated rows and empty tables: as the operators define. A stage joins its verdicts to the
-rows by doc_id; rows that share a doc_id share the verdict of the first row of that id (least of keep and drop: they stay if
-any of them does), but in exact dedup each has the verdict of its own text. Rows without a doc_id pass the dedup stages unchanged.
+Nulls, empty and long texts, ties, repeated rows and empty tables: as the operators define. The first three stages decide
+on rows: where doc_id is null or repeated, rows get numbers in the order of doc_id (null last) and text, the operator sees
+these instead, and a row follows its own verdict. Of rows that are alike in everything one stays in exact dedup. Columns of
+docs may have any names. A mix repeats rows; packing then packs each of them.
 """
 
 from __future__ import annotations
@@ -15,50 +16,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridfold.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
-from gridfold.llm._common import materialise, shared_dir
+from gridfold.llm._common import materialise, n_shuffle, shared_dir
 from gridfold.llm.queries import tokenizer_path
 
 #: Similarity of near copies in the corpus, in hundredths; a pair at 0.80 shares no band with probability (1 - 0.8^10)^110 < 4e-6.
 NEAR, NEAR_BANDS, NEAR_ROWS = 80, 110, 10
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows whose doc_id a verdict keeps; rows without doc_id stay where their verdict says so."""
-    kept = verdicts.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column that is different for every row and ascends with doc_id: doc_id itself, where it is a key."""
+    key = _fresh(docs, "row")
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
+    if ids.filter("id IS NULL").isEmpty() and ids.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return docs.withColumn(key, F.col("doc_id").cast("long")), key
+    order = (F.col("doc_id").asc_nulls_last(), F.sha2(F.coalesce("text", F.lit("")), 256))
+    placed = docs.repartitionByRange(n_shuffle(spark), *order).sortWithinPartitions(*order).withColumn(key, F.monotonically_increasing_id())
+    return materialise(placed, f"{shared_dir(spark, 'numbered')}/rows"), key
+
+
+def _seen(rows: DataFrame, key: str) -> DataFrame:
+    """What an operator sees of the rows, under their numbers."""
+    return rows.select(F.col(key).alias("doc_id"), "text", "lang", "source")
+
+
+def _kept(rows: DataFrame, key: str, verdicts: DataFrame) -> DataFrame:
+    kept = verdicts.filter("kept").select(F.col("doc_id").alias(key))
+    return rows.join(kept, key, "left_semi").drop(key)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return _keep(docs, quality_rules.quality_rules(docs))
+    rows, key = _numbered(spark, docs)
+    return _kept(rows, key, quality_rules.quality_rules(_seen(rows, key))).select(docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays; of equal texts under its doc_id, that with the most code points, then the greatest row."""
-    verdicts = materialise(exact_dedup.exact_dedup(docs), f"{shared_dir(spark, 'exact-stage')}/verdicts")
-    rows = _keep(docs, verdicts)
-    if verdicts.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        return rows
-    # rows of one doc_id may have different texts: each follows the verdict of its own text
-    kept = verdicts.filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_digest")).distinct()
-    known = rows.filter("doc_id IS NOT NULL").withColumn("_digest", F.sha2(exact_dedup.content(F.col("text")), 256))
-    known = known.join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.col("_digest") == F.col("kept_digest")), "left_semi")
-    row = F.struct(F.length(F.coalesce("text", F.lit(""))).alias("_points"), *docs.columns)
-    best = known.groupBy("doc_id", "_digest").agg(F.max(row).alias("_row")).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
-    return best.unionByName(rows.filter("doc_id IS NULL"))
+    """Of rows with equal texts that with the most code points stays, then that with the smallest doc_id."""
+    rows, key = _numbered(spark, docs)
+    return _kept(rows, key, exact_dedup.exact_dedup(_seen(rows, key))).select(docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return _keep(docs, near_dedup.near_dedup(docs, similarity=NEAR, bands=NEAR_BANDS, rows=NEAR_ROWS))
+    """One row of each group of near copies stays."""
+    rows, key = _numbered(spark, docs)
+    return _kept(rows, key, near_dedup.near_dedup(_seen(rows, key), similarity=NEAR, bands=NEAR_BANDS, rows=NEAR_ROWS)).select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as the mix takes them, in whole copies: the part of a copy counts as one from half its words on."""
-    taken, _ = mixing.mix(docs, F.array("source"))
-    copies = taken.filter("taken > 0").select(F.col("doc_id").alias("taken_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies")).groupBy("taken_id").agg(F.max("copies").alias("copies")).filter("copies > 0")
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["taken_id"]))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*[docs[c] for c in docs.columns])
+    """Rows come as often as the mix takes them, in whole copies: the part of a copy counts as one from half its words on."""
+    rows, key = _numbered(spark, docs)
+    taken, _ = mixing.mix(_seen(rows, key), F.array("source"))
+    copies, copy = _fresh(rows, "copies"), _fresh(rows, "copy")
+    times = taken.filter("taken > 0").select(F.col("doc_id").alias(key), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias(copies)).filter(F.col(copies) > 0)
+    return rows.join(times, key).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,9 +11,13 @@ Selection needs no sort of a pattern: the seeded order's first 12 bits cut it in
 bucket; documents before the bucket in which the rest runs out are taken whole, and only that one bucket (a 4096th of the
 pattern) is ordered. Where it is still hot, the next 12 bits cut it again.
 
+Patterns of one source that no other pattern shares need no network: they give what their source's quota asks for. The rest is
+routed per group of sources that patterns connect.
+
 Null text has size 0. A null source is a source of its own and comes last. Documents of size 0 are never taken. Ties of
-the seeded order go to the smaller doc_id. Repeated rows count each and share their order's place. Empty tables give no
-rows. Sources and patterns are collected to the driver: at most MOST_PATTERNS rows, checked.
+the seeded order go to the smaller doc_id, then size, then the text's hash; a row without doc_id has the order of its text.
+Repeated rows count each and share their order's place. Empty tables give no rows. Sources and patterns are collected to the
+driver: at most MOST_PATTERNS rows, of which at most MOST_ROUTED in one connected group, both checked; beyond, this raises.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from gridfold.llm._common import materialise, n_words, shared_dir
 
-COPIES, SEED, MOST_PATTERNS = 3, 17, 100_000
+COPIES, SEED, MOST_PATTERNS, MOST_ROUTED = 3, 17, 1_000_000, 100_000
 WEIGHTS = (5.0, 2.0, 1.0)
 
 
@@ -102,21 +106,59 @@ def route(patterns: list[tuple[frozenset[int], int]], quotas: list[int], copies:
     return taken
 
 
-def _order(doc_id: Column, seed: int) -> Column:
+def shared_out(patterns: list[tuple[frozenset[int], int]], quotas: list[int], copies: int = COPIES) -> list[int]:
+    """route(), by connected groups of sources; a source with one pattern of its own needs no search."""
+    root = list(range(len(quotas)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for sources, _ in patterns:
+        if not sources:
+            continue  # documents of no source are never taken
+        first, *others = sources
+        for s in others:
+            root[find(s)] = find(first)
+    groups = defaultdict(list)
+    for k, (sources, _) in enumerate(patterns):
+        if sources:
+            groups[find(next(iter(sources)))].append(k)
+    taken = [0] * len(patterns)
+    for own in groups.values():
+        if len(own) == 1 and len(patterns[own[0]][0]) == 1:
+            (s,), size = patterns[own[0]]
+            taken[own[0]] = min(quotas[s], copies * size)
+            continue
+        if len(own) > MOST_ROUTED:
+            raise ValueError(f"more than {MOST_ROUTED} membership patterns in one connected group of sources")
+        sources = sorted({s for k in own for s in patterns[k][0]})
+        number = {s: k for k, s in enumerate(sources)}
+        for k, n in zip(own, route([(frozenset(number[s] for s in patterns[k][0]), patterns[k][1]) for k in own], [quotas[s] for s in sources], copies), strict=True):
+            taken[k] = n
+    return taken
+
+
+def _order(doc_id: Column, text: Column, seed: int) -> Column:
     """The seeded order: an md5 in hex, which any SQL engine computes alike."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+    by_text = F.concat(F.lit("#"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), by_text)).cast("binary"))
 
 
 def mix(docs: DataFrame, members: Column, *, size: Column | None = None, weight_of=None, total: float | None = None, copies: int = COPIES, seed: int = SEED) -> tuple[DataFrame, dict]:
     """One row per document: doc_id, size, sources, taken (words, repeats counted); and each source's size and target.
 
-    members is an array<string> column: the document's sources. weight_of(names) gives the weights of the sources, which come
+    docs needs doc_id and text. members is an array<string> column: the document's sources. weight_of(names) gives the weights of the sources, which come
     sorted by code point with null last; total is the number of words of the mix, 100 % of all sizes unless given.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark, "mixing")
     size = n_words(F.col("text")) if size is None else size
-    light = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.cast("long").alias("size"), F.array_distinct(members).alias("sources")).withColumn("order", _order(F.col("doc_id"), seed)), f"{folder}/sizes")
+    text = F.col("text")
+    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.cast("long").alias("size"), F.coalesce(F.array_distinct(members), F.array().cast("array<string>")).alias("sources"), _order(F.col("doc_id").cast("long"), text, seed).alias("order"), F.xxhash64(text).alias("tie"))
+    light = materialise(light, f"{folder}/sizes")
     found = light.groupBy("sources").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
     if len(found) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
@@ -126,12 +168,12 @@ def mix(docs: DataFrame, members: Column, *, size: Column | None = None, weight_
     sizes = [sum(n for p, n in patterns if k in p) for k in range(len(names))]
     weights = weight_of(names) if weight_of else [WEIGHTS[k % len(WEIGHTS)] for k in range(len(names))]
     targets = share_targets(sizes, weights, sum(n for _, n in patterns) if total is None else total, copies)
-    taken = route(patterns, [round(t) for t in targets], copies)
+    taken = shared_out(patterns, [round(t) for t in targets], copies)
     plan = [(r.sources, int(r.size), n // int(r.size) if r.size else 0, n % int(r.size) if r.size else 0) for r, n in zip(found, taken, strict=True)]
     routed = spark.createDataFrame(plan, "sources array<string>, pattern_size long, whole long, rest long")
     key = F.to_json(F.struct("sources"))
     routed = routed.select(key.alias("routed_key"), "whole", "rest")
-    rows = light.withColumn("key", key).join(F.broadcast(routed), F.col("key") == F.col("routed_key")).select("doc_id", "size", "sources", "order", "whole", "rest", "key")
+    rows = light.withColumn("key", key).join(F.broadcast(routed), F.col("key") == F.col("routed_key")).select("doc_id", "size", "sources", "order", "tie", "whole", "rest", "key")
     out = _take(rows, folder)
     out = out.select("doc_id", "size", "sources", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
     return out, dict(zip(names, zip(sizes, targets, strict=True), strict=True))
@@ -150,6 +192,6 @@ def _take(rows: DataFrame, folder: str) -> DataFrame:
     marked = cut.join(F.broadcast(edges), F.col("key") == F.col("k"), "left")
     place, last = F.concat("b1", "b2"), F.concat("e1", "e2")
     whole = marked.filter(F.col("k").isNull() | (place != last)).withColumn("part", F.when((F.col("rest") > 0) & (place < last), F.col("size")).otherwise(0))
-    before = F.col("before2") + F.coalesce(F.sum("size").over(Window.partitionBy("key").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.col("before2") + F.coalesce(F.sum("size").over(Window.partitionBy("key").orderBy("order", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     partly = marked.filter(place == last).withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("rest") - before)))
     return whole.unionByName(partly)

@@ -7,7 +7,7 @@ winsorised statistics, by proximal gradient steps, leaves few non-zero weights.
 Column: scoring a corpus is a single scan without Python.
 
 Null texts count as empty and are scored like them. Labels outside 0 and 1, null labels and labels of unknown documents are
-not learned from; where a document has several labels the smallest counts. Repeated rows are scored each. Without labels of
+not learned from; where a document has several labels the smallest counts, and of rows that share a labelled doc_id the one with the least statistics. Repeated rows are scored each. Without labels of
 both kinds the score is their share (0.5 without labels). Empty tables give no rows.
 """
 
@@ -196,7 +196,9 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> RuleEn
     # the rows of least hash: TakeOrdered keeps this many per task
     chosen = known.orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
-    rows = features(texts).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select(*NAMES, "quality").toArrow()
+    # one row per labelled document, so the bound holds where a doc_id has many rows
+    once = features(texts).groupBy("doc_id").agg(F.min(F.struct(*NAMES)).alias("of")).select("doc_id", "of.*")
+    rows = once.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select(*NAMES, "quality").toArrow()
     data = np.column_stack([rows.column(c).to_numpy() for c in (*NAMES, "quality")]) if len(rows) else np.empty((0, len(NAMES) + 1))
     data = data[np.lexsort(data.T)]  # the order of arrival must not matter
     return fit(data[:, :-1], data[:, -1])

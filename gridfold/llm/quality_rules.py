@@ -1,18 +1,23 @@
 """Quality rules: base rules on words, and robust multivariate outliers by minimum covariance determinant.
 
 DataFrame functions only. One pass over the texts counts; everything after works on a light table of counts. Counts become
-a vector of transformed statistics (VECTOR). For each (lang, source), each lang and for all rows, location and scatter start
-from medians and quartiles and are refined by concentration steps: keep the share H of vectors with the least Mahalanobis
-distance, estimate anew. Equal vectors of a group count once in its estimates, and H is one half, so that neither copies nor
-near copies of one page that hold a third of a group become its normal case. The scatter is corrected for the share left out
-and floored per statistic (FLOORS), since a statistic may be constant in a group. A document is judged by its (lang, source)
-if that has LEAST vectors, else by its lang, else by all rows; it is rejected where its squared distance exceeds the
-chi-squared quantile CUT: of rows that are normal about their group's location, one in 10,000 goes, and fewer where the
-floors are wider than the group.
+a vector of transformed statistics (VECTOR). For each (lang, source), each lang and for all rows, location and scatter are
+estimated by minimum covariance determinant: several deterministic starts (medians and quartiles with no correlation, with
+that of hyperbolic tangents, with that of spatial signs), concentration steps on each (keep the share H of vectors with the
+least Mahalanobis distance, estimate anew, note the determinant), after START_STEPS of them the start with the least
+determinant goes on until its determinant stands still. One reweighting follows: estimates from all vectors within the
+chi-squared quantile WITHIN. Scatters are corrected for the share left out; a variance that is below a statistic's
+resolution (FLOORS: it may be constant in a group) is raised to it.
+
+Equal vectors of a group count once in its estimates, and H is one half, so that neither copies nor near copies of one page
+that hold a third of a group become its normal case. A document is judged by its (lang, source) if that has LEAST vectors,
+else by its lang, else by all rows (column level); it is rejected where its squared distance exceeds the chi-squared
+quantile CUT: of rows that are normal about their group's location, one in 10,000 goes, and fewer where variances were raised.
 
 Null texts have no words; texts without words fail the base rules. Null lang and source are groups of their own. Repeated
 rows are judged each. Ties at the share's edge are all kept. Empty tables give no rows. Hot groups: all estimates are sums and
-sketches that tasks combine before the exchange.
+sketches that tasks combine before the exchange; estimates reach the rows by a broadcast where they are FEW at most (they
+are counted first), else by a join on group and salt.
 """
 
 from __future__ import annotations
@@ -24,12 +29,16 @@ from pyspark.sql import functions as F
 
 from gridfold.llm._common import WORD, materialise, shared_dir
 
-#: Share of vectors in a concentration step, steps, least distinct vectors of a group that judges its own, and the quantile beyond which rows go.
-H, STEPS, LEAST, CUT = 0.5, 3, 200, 1 - 1e-4
+#: Share of vectors in a concentration step, the reweighting's quantile, least distinct vectors of a group that judges its own, and the quantile beyond which rows go.
+H, WITHIN, LEAST, CUT = 0.5, 0.975, 200, 1 - 1e-4
+#: Steps on every start; most steps on the best; change of the log determinant that counts as standing still.
+START_STEPS, STEPS, STILL = 2, 20, 1e-3
+#: Estimates that are broadcast at most; salts of the join beyond.
+FEW, SALTS = 20_000, 16
 MIN_WORDS, MOST_REPEATED = 10, 20
 SYMBOLS = "[#*$%&|<>]"
 VECTOR = ("log_words", "word_length", "symbol_share", "upper_share", "line_share")
-#: Standard deviations added to the scatter, per statistic.
+#: Least standard deviation per statistic.
 FLOORS = (0.5, 0.35, 0.06, 0.06, 0.08)
 
 
@@ -122,7 +131,7 @@ def _levels(rows: DataFrame) -> DataFrame:
 
 
 def _inverse_root(params: DataFrame) -> DataFrame:
-    """Adds the rows of the inverse Cholesky factor (r_i_j) of each group's scatter (c_i_j): distances are sums of squares then."""
+    """Adds the rows of the inverse Cholesky factor (r_i_j) of each group's scatter (c_i_j), so that distances are sums of squares, and the log determinant."""
     p = range(len(VECTOR))
     for i in p:
         for j in range(i + 1):
@@ -139,7 +148,10 @@ def _inverse_root(params: DataFrame) -> DataFrame:
                 for k in range(j, i):
                     total = total + F.col(f"l_{i}_{k}") * F.col(f"r_{k}_{j}")
                 params = params.withColumn(f"r_{i}_{j}", -total / F.col(f"l_{i}_{i}"))
-    return params.select("group", "rows", *[f"m_{i}" for i in p], *[f"r_{i}_{j}" for i in p for j in range(i + 1)])
+    logdet = F.lit(0.0)
+    for i in p:
+        logdet = logdet + 2 * F.ln(f"l_{i}_{i}")
+    return params.select("group", "rows", "start", *[f"m_{i}" for i in p], *[f"r_{i}_{j}" for i in p for j in range(i + 1)], logdet.alias("logdet"))
 
 
 def _distance() -> Column:
@@ -153,53 +165,105 @@ def _distance() -> Column:
     return total
 
 
-def estimate(vectors: DataFrame, folder: str, steps: int = STEPS) -> DataFrame:
-    """Minimum-covariance-determinant location and inverse root scatter of every group, with its number of distinct vectors (rows)."""
+def _joined(rows: DataFrame, params: DataFrame, few: bool) -> DataFrame:
+    """Rows with the estimates of their group (each of its starts): broadcast, or by group and salt, so that no group is one task."""
+    if few:
+        return rows.join(F.broadcast(params), "group")
+    salted = params.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*VECTOR), F.lit(SALTS)).cast("int")).join(salted, ["group", "salt"]).drop("salt")
+
+
+def _pairs():
+    return [(i, j) for i in range(len(VECTOR)) for j in range(i + 1)]
+
+
+def _starts(levels: DataFrame, few: bool, folder: str) -> DataFrame:
+    """The starts of every group: medians with scales from the quartiles, and three correlations."""
     p = range(len(VECTOR))
-    # copies count once; the distinct vectors are read by every step
-    levels = materialise(_levels(vectors).select("group", *VECTOR).distinct(), f"{folder}/levels")
     quartiles = levels.groupBy("group").agg(F.count("*").alias("rows"), *[F.percentile_approx(c, [0.25, 0.5, 0.75]).alias(f"q_{i}") for i, c in enumerate(VECTOR)])
-    first = {f"m_{i}": F.col(f"q_{i}")[1] for i in p}
+    centre = quartiles.select("group", "rows", *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in p], *[F.greatest((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(FLOORS[i])).alias(f"s_{i}") for i in p])
+    centre = materialise(centre, f"{folder}/centre")
+    z = _joined(levels, centre, few).select("group", *[((F.col(c) - F.col(f"m_{i}")) / F.col(f"s_{i}")).alias(f"z_{i}") for i, c in enumerate(VECTOR)])
+    norm = F.lit(0.0)
     for i in p:
-        for j in range(i + 1):
-            first[f"c_{i}_{j}"] = F.pow((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(2.0)) + FLOORS[i] ** 2 if i == j else F.lit(0.0)
-    params = materialise(_inverse_root(quartiles.withColumns(first)), f"{folder}/step-0")
-    grow = H / chi2_cdf(chi2_quantile(H, len(VECTOR)), len(VECTOR) + 2)
-    for step in range(1, steps + 1):
-        measured = levels.join(params, "group").withColumn("d", _distance())
-        edge = materialise(measured.groupBy("group").agg(F.percentile_approx("d", H, 1000).alias("edge")), f"{folder}/edge-{step}")
-        inner = measured.join(edge, "group").filter(F.col("d") <= F.col("edge"))
-        # sums about the last centre keep the products well scaled
-        x = [F.col(c) - F.col(f"m_{i}") for i, c in enumerate(VECTOR)]
-        sums = inner.groupBy("group").agg(F.count("*").alias("n"), F.first("rows").alias("rows"), *[F.first(f"m_{i}").alias(f"o_{i}") for i in p], *[F.avg(x[i]).alias(f"a_{i}") for i in p], *[F.avg(x[i] * x[j]).alias(f"s_{i}_{j}") for i in p for j in range(i + 1)])
-        new = {f"m_{i}": F.col(f"o_{i}") + F.col(f"a_{i}") for i in p}
-        for i in p:
-            for j in range(i + 1):
-                scatter = (F.col(f"s_{i}_{j}") - F.col(f"a_{i}") * F.col(f"a_{j}")) * grow
-                new[f"c_{i}_{j}"] = F.greatest(scatter, F.lit(0.0)) + FLOORS[i] ** 2 if i == j else scatter
-        params = materialise(_inverse_root(sums.withColumns(new)), f"{folder}/step-{step}")
-    return params
-
-
-def quality_rules(docs: DataFrame, *, least: int = LEAST, cut: float = CUT) -> DataFrame:
-    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
-
-    docs needs doc_id, text, lang and source. distance is null for rows that fail the base rules.
+        norm = norm + F.col(f"z_{i}") * F.col(f"z_{i}")
+    z = z.withColumn("norm", F.greatest(F.sqrt(norm), F.lit(1e-9))).select("group", *[F.tanh(f"z_{i}").alias(f"t_{i}") for i in p], *[(F.col(f"z_{i}") / F.col("norm")).alias(f"u_{i}") for i in p])
+    sums = z.groupBy("group").agg(*[F.avg(f"t_{i}").alias(f"t_{i}") for i in p], *[F.avg(F.col(f"t_{i}") * F.col(f"t_{j}")).alias(f"t_{i}_{j}") for i, j in _pairs()], *[F.avg(F.col(f"u_{i}") * F.col(f"u_{j}")).alias(f"u_{i}_{j}") for i, j in _pairs()])
+    by_tanh = lambda i, j: F.col(f"t_{i}_{j}") - F.col(f"t_{i}") * F.col(f"t_{j}")
+    by_sign = lambda i, j: F.col(f"u_{i}_{j}")
+    both = materialise(centre.join(sums, "group"), f"{folder}/correlated")
+
+    def start(k: int, moment) -> DataFrame:
+        def entry(i: int, j: int) -> Column:
+            if i == j:
+                return F.col(f"s_{i}") * F.col(f"s_{i}")
+            if moment is None:
+                return F.lit(0.0)
+            both_ = moment(i, i) * moment(j, j)
+            return F.when(both_ > 1e-18, moment(i, j) / F.sqrt(both_)).otherwise(0.0) * F.col(f"s_{i}") * F.col(f"s_{j}")
+
+        return both.select("group", "rows", F.lit(k).alias("start"), *[f"m_{i}" for i in p], *[entry(i, j).alias(f"c_{i}_{j}") for i, j in _pairs()])
+
+    return _inverse_root(start(0, None).unionByName(start(1, by_tanh)).unionByName(start(2, by_sign)))
+
+
+def _estimates(inner: DataFrame, grow: float) -> DataFrame:
+    """Location and corrected scatter of the rows that stay, per group and start; sums about the last centre keep the products well scaled."""
+    p = range(len(VECTOR))
+    x = [F.col(c) - F.col(f"m_{i}") for i, c in enumerate(VECTOR)]
+    sums = inner.groupBy("group", "start").agg(F.first("rows").alias("rows"), *[F.first(f"m_{i}").alias(f"o_{i}") for i in p], *[F.avg(x[i]).alias(f"a_{i}") for i in p], *[F.avg(x[i] * x[j]).alias(f"s_{i}_{j}") for i, j in _pairs()])
+    new = {f"m_{i}": F.col(f"o_{i}") + F.col(f"a_{i}") for i in p}
+    for i, j in _pairs():
+        scatter = (F.col(f"s_{i}_{j}") - F.col(f"a_{i}") * F.col(f"a_{j}")) * grow
+        new[f"c_{i}_{j}"] = F.greatest(scatter, F.lit(FLOORS[i] ** 2)) if i == j else scatter
+    return _inverse_root(sums.withColumns(new))
+
+
+def estimate(vectors: DataFrame, folder: str, *, few: int = FEW) -> DataFrame:
+    """Minimum-covariance-determinant location and inverse root scatter of every group, reweighted, with its number of distinct vectors (rows)."""
+    # copies count once; the distinct vectors are read by every step
+    levels = materialise(_levels(vectors).select("group", *VECTOR).distinct(), f"{folder}/levels")
+    groups = levels.select("group").distinct().count()
+    params = materialise(_starts(levels, groups <= few, folder), f"{folder}/step-0")
+    correct = lambda q: q / chi2_cdf(chi2_quantile(q, len(VECTOR)), len(VECTOR) + 2)
+    for step in range(1, STEPS + 1):
+        small = (3 if step <= START_STEPS else 1) * groups <= few
+        edge = _joined(levels, params, small).groupBy("group", "start").agg(F.percentile_approx(_distance(), H, 1000).alias("edge"))
+        edged = materialise(params.join(edge, ["group", "start"]), f"{folder}/edge-{step}")
+        new = materialise(_estimates(_joined(levels, edged, small).filter(_distance() <= F.col("edge")), correct(H)), f"{folder}/step-{step}")
+        moved = new.join(params.select("group", "start", F.col("logdet").alias("before")), ["group", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("before")))).first()[0]
+        params = new
+        if step == START_STEPS:
+            names = [c for c in params.columns if c not in ("group", "logdet")]
+            params = params.groupBy("group").agg(F.min(F.struct("logdet", *names)).alias("e")).select("group", "e.*").select(*new.columns)
+            params = materialise(params, f"{folder}/best")
+        elif step > START_STEPS and (moved is None or moved < STILL):
+            break
+    within = _joined(levels, params, groups <= few).filter(_distance() <= chi2_quantile(WITHIN, len(VECTOR)))
+    return materialise(_estimates(within, correct(WITHIN)), f"{folder}/reweighted")
+
+
+def quality_rules(docs: DataFrame, *, least: int = LEAST, cut: float = CUT, few: int = FEW) -> DataFrame:
+    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance, level.
+
+    docs needs doc_id, text, lang and source. distance is squared; it and level (2: judged by lang and source, 1: by lang,
+    0: by all rows) are null for rows that fail the base rules.
     """
     folder = shared_dir(docs.sparkSession, "quality-rules")
     rows = _vector(materialise(counts(docs), f"{folder}/counts"))
     vectors = rows.filter(~F.col("base_failed"))
-    params = estimate(vectors, folder)
+    params = estimate(vectors, folder, few=few)
     # each group is judged by the finest level that has enough rows
     groups = vectors.select("lang", "source").distinct()
     fit = params.filter((F.col("rows") >= least) | (F.get_json_object("group", "$.level") == "0"))
     judge = _levels(groups).join(fit, "group").withColumn("level", F.get_json_object("group", "$.level").cast("int"))
-    names = [c for c in params.columns if c not in ("group", "rows")]
-    best = judge.groupBy("lang", "source").agg(F.max_by(F.struct(*names), "level").alias("e")).select(F.col("lang").alias("e_lang"), F.col("source").alias("e_source"), "e.*")
+    names = [c for c in params.columns if c not in ("group", "rows", "start", "logdet")]
+    best = judge.groupBy("lang", "source").agg(F.max_by(F.struct("level", *names), "level").alias("e")).select(F.col("lang").alias("e_lang"), F.col("source").alias("e_source"), "e.*")
     best = materialise(best, f"{folder}/judges")
+    if best.count() <= few:
+        best = F.broadcast(best)
     joined = rows.join(best, F.col("lang").eqNullSafe(F.col("e_lang")) & F.col("source").eqNullSafe(F.col("e_source")), "left")
     distance = F.when(~F.col("base_failed"), _distance())
     kept = F.coalesce(distance <= chi2_quantile(cut, len(VECTOR)), F.lit(False))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), distance.alias("distance"))
-
-
+    level = F.when(~F.col("base_failed"), F.col("level"))
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), distance.alias("distance"), level.alias("level"))

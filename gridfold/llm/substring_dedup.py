@@ -14,7 +14,8 @@ the 128-bit digests of its single windows are compared. Then each document loses
 
 Windows are judged on the input. Null texts have no words; texts shorter than a window lose nothing. Repeated rows repeat
 all their windows; rows sharing a doc_id are told apart by a row number given when they are staged. A null doc_id is kept as
-null. Empty tables give no rows. Hot passages: every exchange of occurrences is a count that tasks combine first, or a join
+null. Empty tables give no rows. Places within a slice of texts wrap after 4.2 million words (one longer text): of equal grams in
+one window another may be the anchor then, its block differs from its copies' and its windows are compared singly. Hot passages: every exchange of occurrences is a count that tasks combine first, or a join
 whose many rows are on the side that Spark can split.
 """
 
@@ -196,6 +197,8 @@ def repeated_windows(index_rows: DataFrame, docs: DataFrame, folder: str, batche
     for b in range(batches):
         found = index.add(index_rows.filter(F.col("batch") == b).groupBy("fp", "block").agg(F.count("*").alias("n")))
         met = found if met is None else met.unionByName(found)
+    index.drop(index.runs())  # this call's history; a lasting index keeps its runs
+    index.levels.clear()
     # verification: blocks of met fingerprints
     open_ = materialise(index_rows.join(met, "fp", "left_semi").select("row", "fp", "block", "first", "windows"), f"{folder}/candidates")
     blocks = open_.groupBy("fp", "block").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "windows")).alias("at"))

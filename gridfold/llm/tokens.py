@@ -1,11 +1,13 @@
 """Token ids of whole texts by a vocabulary file of the tokenizers library.
 
 Words between white space are encoded once and looked up afterwards. That is exact for a tokenizer whose normalisation
-and splitting never look across ASCII white space, which the word vocabulary's file declares.
+and splitting never look across ASCII white space, which the word vocabulary's file declares. The file's declaration is read
+when it is loaded: texts are encoded whole where it differs from the one known here (KNOWN).
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -18,6 +20,19 @@ from gridfold.llm._common import Words, slices
 #: Words that a process keeps at most before it starts anew: about 150 MB.
 KEPT = 700_000
 
+#: The normaliser and splitter of a file whose words may be encoded alone.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
 #: What the file's splitting rule makes of printable ASCII without apostrophes, once it is in lower case.
 _ASCII_PIECES = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 _ASCII = re.compile(r"[!-&(-~]+")
@@ -39,6 +54,8 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        declared = json.loads(self.tokenizer.to_str())
+        self.by_words = all(declared.get(k) == v for k, v in KNOWN.items())
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.vocab_size = self.tokenizer.get_vocab_size()
@@ -93,6 +110,10 @@ class TextEncoder:
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text ends. end_id, if given, ends each text."""
+        if not self.by_words:
+            end = [] if end_id is None else [end_id]
+            each = [[*e.ids, *end] for e in self.tokenizer.encode_batch(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
+            return np.array([i for ids in each for i in ids], np.uint32), np.cumsum([len(ids) for ids in each], dtype=np.int64)
         words = Words(plainer(texts))
         rows = self.learn(words.vocabulary.to_numpy(zero_copy_only=False).tolist())[words.codes]
         starts, lengths = self.starts[rows], self.lengths[rows]

@@ -2,19 +2,20 @@
 
 A bundle is a sequence of independent Zstandard frames, each of whole WARC records up to about ``frame`` bytes, so that one
 record is read by inflating one frame. Two skippable frames follow, which any Zstandard reader passes over: the map from
-record ids to (frame, offset in the inflated frame, length), and last the seek table of the public seekable format with
+record ids to (frame, offset in the inflated frame, length), sorted by id, and last the seek table of the public seekable format with
 the compressed and inflated size of every frame.
 
-Payload copies: of records with equal payloads of at least ``least`` bytes the smallest page_id is written as response, the
+A task begins a new bundle when one has reached ``most`` bytes of records. Payload copies: of records with equal payloads of at least ``least`` bytes the smallest page_id is written as response, the
 others as revisit records that name it and carry headers only. Null payloads count as empty. A null page_id or url is
-written as an empty header and read as null; a null page_id counts after all others. Rows of one page_id are written as
-often as they come. Empty tables give no bundles. Bundle names depend on the task's partition alone and appear by rename, so
+written as an empty header and read as null; a null page_id counts after all others and is not in the map. Rows of one page_id are written as
+often as they come. Empty tables give no bundles. Bundle names depend on the task's partition and their number in it and appear by rename, so
 a lost task is simply run again.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import uuid
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from gridfold.llm._common import atomic_file, bounded_batches, column, materialise, n_shuffle, open_shared
 
-LEAST, FRAME = 100, 1 << 18
+LEAST, FRAME, MOST = 100, 1 << 18, 1 << 30
 #: Fixed values of the seekable format: skippable frame magic, footer magic; and the skippable frame that holds our map.
 SEEK_MAGIC, FOOTER_MAGIC, MAP_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 DATE = "1970-01-01T00:00:00Z"
@@ -79,12 +80,15 @@ class _Bundle:
     def __init__(self, file, frame: int):
         self.file, self.most = file, frame
         self.packer = zstandard.ZstdCompressor(level=3, write_checksum=True)
-        self.part, self.held, self.frames, self.map = [], 0, [], []
+        self.part, self.held, self.frames, self.map, self.records, self.size = [], 0, [], [], 0, 0
 
-    def add(self, record_id: int, data: bytes) -> None:
+    def add(self, record_id: int | None, data: bytes) -> None:
         if self.held and self.held + len(data) > self.most:
             self.end_frame()
-        self.map.append((record_id, len(self.frames), self.held, len(data)))
+        if record_id is not None:
+            self.map.append((record_id, len(self.frames), self.held, len(data)))
+        self.records += 1
+        self.size += len(data)
         self.part.append(data)
         self.held += len(data)
 
@@ -97,7 +101,8 @@ class _Bundle:
 
     def close(self) -> None:
         self.end_frame()
-        body = np.array(self.map, _MAP).tobytes()
+        places = np.array(self.map, _MAP)
+        body = places[np.argsort(places["record"], kind="stable")].tobytes()
         self.file.write(struct.pack("<II", MAP_MAGIC, len(body)) + body)
         table = [*self.frames, (8 + len(body), 0)]
         entries = b"".join(struct.pack("<II", *x) for x in table)
@@ -130,16 +135,16 @@ class BundleReader:
         return zstandard.ZstdDecompressor().decompress(self.file.read(int(self.packed[k])), max_output_size=int(self.inflated[k]))
 
     def record(self, record_id: int) -> tuple[dict[str, str], bytes]:
-        found = self.map[self.map["record"] == record_id]
-        if not len(found):
+        at = int(np.searchsorted(self.map["record"], record_id))
+        if at == len(self.map) or self.map[at]["record"] != record_id:
             raise KeyError(record_id)
-        return parse(self.frame(int(found[0]["frame"])), int(found[0]["offset"]))[:2]
+        return parse(self.frame(int(self.map[at]["frame"])), int(self.map[at]["offset"]))[:2]
 
     def close(self) -> None:
         self.file.close()
 
 
-def write(pages: DataFrame, folder: str, *, least: int = LEAST, frame: int = FRAME) -> DataFrame:
+def write(pages: DataFrame, folder: str, *, least: int = LEAST, frame: int = FRAME, most: int = MOST) -> DataFrame:
     """Writes the bundles below folder; returns one row per bundle: bundle, records, frames.
 
     pages needs page_id, url and html. Which payloads repeat is found from digests alone; payloads are shuffled once, by page.
@@ -157,15 +162,20 @@ def write(pages: DataFrame, folder: str, *, least: int = LEAST, frame: int = FRA
     schema = pa.schema([("bundle", pa.string()), ("records", pa.int64()), ("frames", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = f"{folder}/part-{TaskContext.get().partitionId():05d}.warc.zst"
-        with atomic_file(name) as file:
-            out = _Bundle(file, frame)
-            for batch in batches:
-                for page, url, digest, size, payload, refers in zip(*(column(batch, c).to_pylist() for c in ("page_id", "url", "digest", "bytes", "payload", "first")), strict=True):
-                    out.add(-1 if page is None else page, record(page, url, payload, digest, refers, size))
-            out.close()
-        if out.map:
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(out.map)]), pa.array([len(out.frames)])], schema=schema)
+        records = (row for batch in batches for row in zip(*(column(batch, c).to_pylist() for c in ("page_id", "url", "digest", "bytes", "payload", "first")), strict=True))
+        left = next(records, None)
+        for number in itertools.count():
+            if left is None:
+                return
+            name = f"{folder}/part-{TaskContext.get().partitionId():05d}-{number:03d}.warc.zst"
+            with atomic_file(name) as file:
+                out = _Bundle(file, frame)
+                while left is not None and out.size < most:
+                    page, url, digest, size, payload, refers = left
+                    out.add(page, record(page, url, payload, digest, refers, size))
+                    left = next(records, None)
+                out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([out.records]), pa.array([len(out.frames)])], schema=schema)
 
     return materialise(joined.mapInArrow(run, "bundle string, records long, frames long"), f"{folder}/_bundles")
 
