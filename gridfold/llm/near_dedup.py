@@ -14,7 +14,7 @@ against it. Pairs of a bucket are not all emitted:
 2. in buckets whose components still differ, members of different components compare their sketches, in blocks of bounded
    size; members of a bucket's largest component meet only those outside it. Pairs whose agreement is so low that a linked
    pair would have it with probability below MISS (the sketch's concentration bound) end there. While these are many, every
-   member gives only its best partner, and the links found are contracted again;
+   member gives only its best partner in some of the bands, and the links found are contracted again;
 3. what is left is emitted once, at the first band that the pair shares, and verified on the full sets.
 
 Of buckets with the same members only the first is looked at. So a bucket of many copies costs a comparison per member, no
@@ -46,8 +46,8 @@ SIMILARITY = 85
 MOST_BANDS, BUCKET_BITS = 128, 56
 #: Probability with which a linked pair's sketches may agree so little that it is not verified.
 MISS = 1e-7
-#: Members of a block of a bucket; sketches that are compared at a time; pairs, as a multiple of the open buckets' members, from which members first give their best partner only; and rounds of that.
-BLOCK, AT_ONCE, BEST_OVER, BEST_ROUNDS = 1024, 16_384, 8, 2
+#: Members of a block of a bucket; sketches that are compared at a time; pairs, as a multiple of the open buckets' members, from which members first give their best partner only; rounds of that, each in one of so many bands.
+BLOCK, AT_ONCE, BEST_OVER, BEST_ROUNDS, BEST_BANDS = 1024, 16_384, 8, 2, 4
 #: Rows that a task should have at least, where tables are light; pairs of texts.
 ROWS_PER_TASK, PAIRS_PER_TASK = 50_000, 4_000
 
@@ -317,7 +317,8 @@ def near_dedup(docs: DataFrame, *, similarity: int = SIMILARITY, bands: int = BA
         if not n_open:
             break
         whole = step == BEST_ROUNDS or n_pairs <= BEST_OVER * n_open
-        agree = lambda best: compared(open_, member_sketches, best, least, similarity, bands, rows)  # noqa: B023, E731
+        of_round = open_.filter(F.shiftright("bucket", BUCKET_BITS) % BEST_BANDS == step)
+        agree = lambda best: compared(of_round if best else open_, member_sketches, best, least, similarity, bands, rows)  # noqa: B023, E731
         links = check(agree(not whole), f"{step}")
         if not whole and links.isEmpty():
             links, whole = check(agree(False), f"{step}-all"), True
