@@ -32,7 +32,7 @@ from gridfold.llm._common import WORD, materialise, shared_dir
 #: Share of vectors in a concentration step, the reweighting's quantile, least distinct vectors of a group that judges its own, and the quantile beyond which rows go.
 H, WITHIN, LEAST, CUT = 0.5, 0.975, 200, 1 - 1e-4
 #: Steps on every start; most steps on the best; change of the log determinant that counts as standing still.
-START_STEPS, STEPS, STILL = 2, 20, 1e-3
+START_STEPS, STEPS, STILL = 2, 12, 1e-2
 #: Estimates that are broadcast at most; salts of the join beyond.
 FEW, SALTS = 20_000, 16
 MIN_WORDS, MOST_REPEATED = 10, 20
@@ -226,19 +226,28 @@ def estimate(vectors: DataFrame, folder: str, *, few: int = FEW) -> DataFrame:
     groups = levels.select("group").distinct().count()
     params = materialise(_starts(levels, groups <= few, folder), f"{folder}/step-0")
     correct = lambda q: q / chi2_cdf(chi2_quantile(q, len(VECTOR)), len(VECTOR) + 2)
+    done = None
     for step in range(1, STEPS + 1):
         small = (3 if step <= START_STEPS else 1) * groups <= few
         edge = _joined(levels, params, small).groupBy("group", "start").agg(F.percentile_approx(_distance(), H, 1000).alias("edge"))
-        edged = materialise(params.join(edge, ["group", "start"]), f"{folder}/edge-{step}")
-        new = materialise(_estimates(_joined(levels, edged, small).filter(_distance() <= F.col("edge")), correct(H)), f"{folder}/step-{step}")
-        moved = new.join(params.select("group", "start", F.col("logdet").alias("before")), ["group", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("before")))).first()[0]
-        params = new
-        if step == START_STEPS:
+        before = params.select("group", "start", F.col("logdet").alias("before"))
+        edged = params.join(F.broadcast(edge) if small else edge, ["group", "start"])
+        new = _estimates(_joined(levels, edged, small).filter(_distance() <= F.col("edge")), correct(H)).join(F.broadcast(before) if small else before, ["group", "start"])
+        new = materialise(new, f"{folder}/step-{step}")
+        if step < START_STEPS:
+            params = new.drop("before")
+        elif step == START_STEPS:
             names = [c for c in params.columns if c not in ("group", "logdet")]
-            params = params.groupBy("group").agg(F.min(F.struct("logdet", *names)).alias("e")).select("group", "e.*").select(*new.columns)
-            params = materialise(params, f"{folder}/best")
-        elif step > START_STEPS and (moved is None or moved < STILL):
-            break
+            best = new.groupBy("group").agg(F.min(F.struct("logdet", *names)).alias("e")).select("group", "e.*").select(*params.columns)
+            params = materialise(best, f"{folder}/best")
+        else:  # groups that stand still leave the loop
+            still = (F.abs(F.col("logdet") - F.col("before")) < STILL) | F.lit(step == STEPS)
+            ended = new.filter(still).drop("before")
+            done = ended if done is None else done.unionByName(ended)
+            params = new.filter(~still).drop("before")
+            if params.isEmpty():
+                break
+    params = materialise(done, f"{folder}/still")
     within = _joined(levels, params, groups <= few).filter(_distance() <= chi2_quantile(WITHIN, len(VECTOR)))
     return materialise(_estimates(within, correct(WITHIN)), f"{folder}/reweighted")
 

@@ -328,7 +328,7 @@ def mcd_by_numpy(x):
             m, c = fit(x[d <= share(d, q.H)], q.H)
         fits.append((np.linalg.slogdet(c)[1], m, c))
     before, m, c = min(fits, key=lambda f: f[0])
-    for _ in range(q.START_STEPS, q.STEPS):
+    for _ in range(q.START_STEPS, q.STEPS):  # the last step's estimates stay, still or not
         d = distance(m, c)
         m, c = fit(x[d <= share(d, q.H)], q.H)
         after = np.linalg.slogdet(c)[1]
