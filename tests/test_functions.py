@@ -79,24 +79,42 @@ def test_hazard_and_decay(spark):
     assert one(spark, C.half_distance(F.lit(5.0), 5.0)) == 0.5
 
 
-@pytest.mark.parametrize(
-    ("raw", "want"),
-    [
-        ("315 SHUKSAN WAY DWS4", ("315", "", "SHUKSAN", "WAY", "", "", "DWS4")),
-        ("2600 N NORMANDY BLVD, DELTONA, FL 32725", ("2600", "N", "NORMANDY", "BLVD", "", "", "")),
-        ("21005 64TH AVENUE S ATTN JESSICA ANG", ("21005", "", "64TH", "AVE", "S", "", "")),
-        ("4905 DERRICK RD SW AMAZON MGE8 SORTATION CENTER", ("4905", "", "DERRICK", "RD", "SW", "", "")),
-        ("376 ZAPPOS.COM BLVD - 100 W THOMAS PECHOL", ("376", "", "ZAPPOS COM", "BLVD", "", "", "")),
-        ("W6331 WALLY WAY", ("W6331", "", "WALLY", "WAY", "", "", "")),
-        ("3610 NW SAINT HELENS RD", ("3610", "NW", "ST HELENS", "RD", "", "", "")),
-        ("3680 LANGLEY DRIVE SUITE 100", ("3680", "", "LANGLEY", "DR", "", "100", "")),
-        ("4412 W CR 300 N", ("4412", "W", "300", "", "N", "", "")),
-        ("no number here", ("", "", "", "", "", "", "")),
-    ],
-)
-def test_addresses(raw, want):
-    got = text.parse_address(raw)
-    assert tuple(got[k] for k in ("house", "predir", "street", "suffix", "postdir", "unit", "code")) == want
+ADDRESSES = [
+    ("315 SHUKSAN WAY DWS4", ("315", "", "SHUKSAN", "WAY", "", "", "DWS4")),
+    ("2600 N NORMANDY BLVD, DELTONA, FL 32725", ("2600", "N", "NORMANDY", "BLVD", "", "", "")),
+    ("21005 64TH AVENUE S ATTN JESSICA ANG", ("21005", "", "64TH", "AVE", "S", "", "")),
+    ("4905 DERRICK RD SW AMAZON MGE8 SORTATION CENTER", ("4905", "", "DERRICK", "RD", "SW", "", "")),
+    ("376 ZAPPOS.COM BLVD - 100 W THOMAS PECHOL", ("376", "", "ZAPPOS COM", "BLVD", "", "", "")),
+    ("W6331 WALLY WAY", ("W6331", "", "WALLY", "WAY", "", "", "")),
+    ("N93W16890 Cleveland Ave", ("N93W16890", "", "CLEVELAND", "AVE", "", "", "")),
+    ("3610 NW SAINT HELENS RD", ("3610", "NW", "ST HELENS", "RD", "", "", "")),
+    ("3610 NW ST HELENS RD", ("3610", "NW", "ST HELENS", "RD", "", "", "")),
+    ("3680 LANGLEY DRIVE SUITE 100", ("3680", "", "LANGLEY", "DR", "", "100", "")),
+    ("7555 AIRPORT WAY SW #6162", ("7555", "", "AIRPORT", "WAY", "SW", "6162", "")),
+    ("100 W THOMAS P ECHOLS LN 3", ("100", "W", "THOMAS P ECHOLS", "LN", "", "3", "")),
+    ("3050 GATEWAY COMMERCE CENTER DR S STL 4", ("3050", "", "GATEWAY COMMERCE CENTER", "DR", "S", "", "STL4")),
+    ("1901 140TH AVE E BFI7", ("1901", "", "140TH", "AVE", "E", "", "BFI7")),
+    ("4412 W CR 300 N", ("4412", "W", "300", "", "N", "", "")),
+    ("4616-6 WEST HOWARD LANE", ("4616-6", "W", "HOWARD", "LN", "", "", "")),
+    ("AMAZON.COM BUILDING, 1901 MEADOWVILLE TECH", ("1901", "", "MEADOWVILLE TECH", "", "", "", "")),
+    ("5509 MILITARY RD E,", ("5509", "", "MILITARY", "RD", "E", "", "")),
+    ("100 N ST", ("100", "N", "ST", "", "", "", "")),
+    ("9 #", ("9", "", "", "", "", "", "")),
+    ("12", ("12", "", "", "", "", "", "")),
+    ("no number here", ("", "", "", "", "", "", "")),
+    ("", ("", "", "", "", "", "", "")),
+    (None, ("", "", "", "", "", "", "")),
+]
+
+
+def test_addresses(spark):
+    df = spark.createDataFrame([(k, raw) for k, (raw, _) in enumerate(ADDRESSES)], "k int, raw string")
+    got = {r.k: r.a for r in df.select("k", text.address("raw").alias("a")).collect()}
+    for k, (raw, want) in enumerate(ADDRESSES):
+        assert tuple(got[k][c] for c in ("house", "predir", "street", "suffix", "postdir", "unit", "code")) == want, raw
+    part = {raw: got[k] for k, (raw, _) in enumerate(ADDRESSES)}
+    assert part["4616-6 WEST HOWARD LANE"].number == "4616" and part["100 W THOMAS P ECHOLS LN 3"].core == "THOMASPECHOLS"
+    assert part["315 SHUKSAN WAY DWS4"].key == "315 SHUKSAN WAY" and part["no number here"].key == ""
 
 
 def test_jaro_winkler():
