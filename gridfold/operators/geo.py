@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridfold.functions.columns import RADIUS_COST, haversine
+from gridfold.operators.storage import materialise, shared_dir
 
-#: Sites up to which the nearest one is sought by a broadcast; more go by growing rings.
-BROADCAST_SITES = 20_000
+#: Sites up to which the nearest one is sought by a broadcast, and distances per row then; more go by growing rings.
+BROADCAST_SITES = 2_000
 _SLACK = 1.001
 
 
@@ -56,12 +57,16 @@ def nearest(left: DataFrame, sites: DataFrame, key: str, site: str, *, other: Co
         pairs = left.join(F.broadcast(sites), ok).withColumn("miles", haversine("lat", "lon", "site_lat", "site_lon", radius))
         found = best(pairs)
     else:
-        found, rest, miles = None, left, first_miles
-        while miles < math.pi * radius:
-            ring = best(radius_join(rest, sites, miles, radius=radius).filter(ok))
+        # rows that share coordinates could share a search only without a condition of their own
+        folder, whole = shared_dir(left.sparkSession, "nearest"), math.pi * radius
+        found, rest, miles, step = None, left, min(first_miles, whole), 0
+        while True:
+            ring = materialise(best(radius_join(rest, sites, miles, radius=radius).filter(ok)), f"{folder}/{step}")
             found = ring if found is None else found.unionByName(ring)
-            rest = rest.join(ring.select(key), key, "left_anti")
-            miles *= 8
+            rest = left.join(found.select(key), key, "left_anti")
+            if miles >= whole or rest.isEmpty():
+                break
+            miles, step = min(8 * miles, whole), step + 1  # the last ring is the whole sphere
     return left.join(found, key, "left")
 
 

@@ -74,6 +74,11 @@ def conformal_quantile(df: DataFrame, score: str, alpha: float) -> float:
     return df.orderBy(F.desc(score)).limit(n - k + 1).agg(F.min(score)).first()[0]
 
 
+def binary_sets(df: DataFrame, p: str, q: float, slack: float = 0.0) -> DataFrame:
+    """Adds yes and no: whether the label is in the prediction set, its nonconformity (1 - its probability) being at most q."""
+    return df.withColumns({"yes": 1 - F.col(p) <= q + slack, "no": F.col(p) <= q + slack})
+
+
 def mcnemar_exact(only_a: int, only_b: int) -> float:
     """Two-sided exact p-value of discordant counts."""
     n, k = only_a + only_b, min(only_a, only_b)

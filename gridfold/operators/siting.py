@@ -18,28 +18,62 @@ def miles_matrix(lat: np.ndarray, lon: np.ndarray, lat2: np.ndarray, lon2: np.nd
     return 2 * RADIUS * np.arcsin(np.sqrt(np.clip(a, 0, 1)))
 
 
-def p_median(miles: np.ndarray, weights: np.ndarray, p: int, passes: int = 12) -> np.ndarray:
+class Miles:
+    """Distances between the points of an area by blocks of columns; kept whole up to so many points, else worked out anew."""
+
+    BLOCK = 256
+
+    def __init__(self, lat: np.ndarray, lon: np.ndarray, whole: int = 3000):
+        self.lat, self.lon, self.shape = lat, lon, (len(lat), len(lat))
+        self.kept = miles_matrix(lat, lon, lat, lon) if len(lat) <= whole else None
+
+    def columns(self, which) -> np.ndarray:
+        return self.kept[:, which] if self.kept is not None else miles_matrix(self.lat, self.lon, self.lat[which], self.lon[which])
+
+    def blocks(self):
+        for lo in range(0, self.shape[1], self.BLOCK):
+            yield lo, self.columns(slice(lo, lo + self.BLOCK))
+
+
+class _Matrix:
+    """A given distance matrix under the same interface."""
+
+    def __init__(self, miles: np.ndarray):
+        self.miles, self.shape = miles, miles.shape
+
+    def columns(self, which) -> np.ndarray:
+        return self.miles[:, which]
+
+    def blocks(self):
+        yield 0, self.miles
+
+
+def p_median(miles, weights: np.ndarray, p: int, passes: int = 12) -> np.ndarray:
     """Columns that together bring sum(weight * nearest miles) down: greedy opening, then swaps as long as one helps.
 
-    Ties go to the lower index. miles is demand x candidates.
+    Ties go to the lower index. miles is demand x candidates, a matrix or Miles.
     """
+    miles = _Matrix(miles) if isinstance(miles, np.ndarray) else miles
     n = miles.shape[1]
     if p >= n:
         return np.arange(n)
     w, open_ = np.asarray(weights, float), []
-    reach = np.full(len(miles), np.inf)
+
+    def totals(reach: np.ndarray, barred: list[int]) -> np.ndarray:
+        out = np.concatenate([w @ np.minimum(block, reach[:, None]) for _, block in miles.blocks()])
+        out[barred] = np.inf
+        return out
+
+    reach = np.full(miles.shape[0], np.inf)
     while len(open_) < p:
-        total = w @ np.minimum(miles, reach[:, None])
-        total[open_] = np.inf
-        open_.append(int(total.argmin()))
-        reach = np.minimum(reach, miles[:, open_[-1]])
+        open_.append(int(totals(reach, open_).argmin()))
+        reach = np.minimum(reach, miles.columns(open_[-1]) if isinstance(miles, _Matrix) else miles.columns([open_[-1]])[:, 0])
     for _ in range(passes):
         swapped = False
         for slot in range(p):
             others = open_[:slot] + open_[slot + 1 :]
-            rest = miles[:, others].min(axis=1) if others else np.full(len(miles), np.inf)
-            total = w @ np.minimum(miles, rest[:, None])
-            total[others] = np.inf
+            rest = miles.columns(others).min(axis=1) if others else np.full(miles.shape[0], np.inf)
+            total = totals(rest, others)
             best, now = int(total.argmin()), total[open_[slot]]
             if now - total[best] > 1e-9 * max(now, 1.0):
                 open_[slot], swapped = best, True
@@ -48,54 +82,99 @@ def p_median(miles: np.ndarray, weights: np.ndarray, p: int, passes: int = 12) -
     return np.array(sorted(open_))
 
 
-def depot_network(places: DataFrame, area: str, *, parcels: str = "parcels", per_depot: float = 40_000.0, most: int = 3000) -> DataFrame:
-    """Depots per area among its places: one per so many parcels, at least one. An area of more than `most` places is an error.
+def depot_network(places: DataFrame, area: str, *, parcels: str = "parcels", per_depot: float = 40_000.0, whole: int = 3000) -> DataFrame:
+    """Depots per area among its places: one per so many parcels, at least one.
 
-    The distance matrix of an area is held by one task: at most `most` squared numbers.
+    An area is solved by one task, which holds its places' coordinates; their distances too up to `whole` places, and beyond
+    that a block of columns at a time.
     """
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > most:
-            raise ValueError(f"area {rows[area].iloc[0]} has {len(rows)} places")
         rows = rows.sort_values("place", ignore_index=True)
         k = int(min(len(rows), max(1, math.ceil(rows[parcels].sum() / per_depot))))
-        m = miles_matrix(rows.lat.to_numpy(), rows.lon.to_numpy(), rows.lat.to_numpy(), rows.lon.to_numpy())
+        m = Miles(rows.lat.to_numpy(), rows.lon.to_numpy(), whole)
         chosen = p_median(m, rows[parcels].to_numpy(), k)
-        cost = float((rows[parcels].to_numpy() * m[:, chosen].min(axis=1)).sum())
+        cost = float((rows[parcels].to_numpy() * m.columns(chosen).min(axis=1)).sum())
         return pd.DataFrame({"area": rows[area].iloc[0], "depot": rows.place[chosen], "depots": k, "objective": cost})
 
     return places.select(area, "place", "lat", "lon", parcels).groupBy(area).applyInPandas(solve, "area long, depot long, depots int, objective double")
 
 
-def portfolio(value: np.ndarray, cost: np.ndarray, overlap: np.ndarray, budget: float, swaps: int = 20) -> tuple[list[int], float]:
-    """Sites of most total value within a budget: each site's value shrinks by exp(-exposure) to the chosen ones; greedy by gain per cost, then swaps."""
+class _Exposure:
+    """A portfolio with each site's exposure to the chosen ones, kept up to date as sites come and go."""
+
+    def __init__(self, value: np.ndarray, overlap: list[tuple[np.ndarray, np.ndarray]]):
+        self.value, self.overlap, self.exposure, self.chosen = value, overlap, np.zeros(len(value)), np.zeros(len(value), bool)
+
+    def change(self, j: int, sign: int) -> None:
+        near, by = self.overlap[j]
+        self.exposure[near] += sign * by
+        self.chosen[j] = sign > 0
+
+    def total(self) -> float:
+        return float((self.value * np.exp(-self.exposure))[self.chosen].sum())
+
+    def gain(self, j: int) -> float:
+        """What adding j adds: its own value less what its chosen neighbours lose."""
+        near, by = self.overlap[j]
+        lost = np.where(self.chosen[near], self.value[near] * np.exp(-self.exposure[near]) * (1 - np.exp(-by)), 0.0)
+        return float(self.value[j] * np.exp(-self.exposure[j]) - lost.sum())
+
+    def touched(self, j: int) -> np.ndarray:
+        """Sites whose gain j's coming or going may change: its neighbours and those of its chosen neighbours."""
+        near = self.overlap[j][0]
+        return np.unique(np.concatenate([[j], near, *[self.overlap[k][0] for k in near[self.chosen[near]]]]).astype(np.int64))
+
+
+def portfolio(value: np.ndarray, cost: np.ndarray, overlap: list[tuple[np.ndarray, np.ndarray]], budget: float, swaps: int | None = None) -> tuple[list[int], float]:
+    """Sites of most total value within a budget: each site's value shrinks by exp(-exposure) to the chosen ones.
+
+    overlap: each site's neighbours (without itself) and how far they expose it. Greedy by gain per cost, then the best swap
+    as long as one helps (at most so many). After a change only the gains around it are worked out anew.
+    """
+    state, n = _Exposure(value, overlap), len(value)
+    gains = value.astype(float).copy()
+    left = budget
 
-    def total(chosen: list[int]) -> float:
-        if not chosen:
-            return 0.0
-        exposure = overlap[np.ix_(chosen, chosen)].sum(axis=1) - overlap[chosen, chosen]
-        return float((value[chosen] * np.exp(-exposure)).sum())
+    def update(j: int, into: np.ndarray) -> None:
+        for k in state.touched(j):
+            into[k] = state.gain(int(k))
 
-    chosen: list[int] = []
     while True:
-        left = budget - cost[chosen].sum()
-        gains = [(j, total([*chosen, j]) - total(chosen)) for j in range(len(value)) if j not in chosen and cost[j] <= left]
-        gains = [(j, g) for j, g in gains if g > 1e-12]
-        if not gains:
+        rate = np.where(~state.chosen & (cost <= left) & (gains > 1e-12), gains / cost, -np.inf)
+        j = int(rate.argmax())
+        if rate[j] == -np.inf:
             break
-        chosen.append(max(gains, key=lambda x: (x[1] / cost[x[0]], -x[0]))[0])
-    for _ in range(swaps):
-        best, now = None, total(chosen)
-        for i in range(len(chosen)):
-            others = chosen[:i] + chosen[i + 1 :]
-            left = budget - cost[others].sum()
-            for j in range(len(value)):
-                if j not in chosen and cost[j] <= left and (t := total([*others, j])) > now + 1e-12:
-                    best, now = [*others, j], t
+        around = state.touched(j)
+        state.change(j, 1)
+        left -= cost[j]
+        for k in np.union1d(around, state.touched(j)):
+            gains[k] = state.gain(int(k))
+    step = 0
+    while swaps is None or step < swaps:
+        step += 1
+        best, most = None, 1e-9
+        for i in np.flatnonzero(state.chosen).tolist():
+            state.change(i, -1)
+            own, loss = gains.copy(), state.gain(i)
+            update(i, own)
+            ok = ~state.chosen & (cost <= left + cost[i])
+            ok[i] = False
+            more = np.where(ok, own - loss, -np.inf)
+            j = int(more.argmax())
+            if more[j] > most:
+                best, most = (i, j), float(more[j])
+            state.change(i, 1)
         if best is None:
             break
-        chosen = best
-    return sorted(chosen), total(chosen)
+        i, j = best
+        for site, sign in ((i, -1), (j, 1)):
+            around = state.touched(site)
+            state.change(site, sign)
+            left -= sign * cost[site]
+            for k in np.union1d(around, state.touched(site)):
+                gains[k] = state.gain(int(k))
+    return np.flatnonzero(state.chosen).tolist(), state.total()
 
 
 def portfolio_bound(value: np.ndarray, cost: np.ndarray, budget: float) -> float:

@@ -15,9 +15,9 @@ from gridfold.plans.registry import query
 from gridfold.plans.stand_ins import PLACES, places, sites, table
 
 COLUMNS = ["households", "land1", "score1"]
-#: Decisions: every third customer that orders chooses itself among its county's customers of the same segment.
+#: Decisions: every customer chooses itself among its county's customers of the same segment.
 ALTERNATIVES = f"""{PLACES}, alt AS (SELECT place, county_id || '-' || segment AS market, households, greatest(land, 0.5) AS land1, (score + 1000) / 1000 AS score1 FROM places),
-  dec AS (SELECT c.place AS decision, a.place AS alt, a.market, a.place = c.place AS chosen, a.households, a.land1, a.score1 FROM alt c JOIN alt a USING (market) WHERE c.place % 3 = 0),
+  dec AS (SELECT c.place AS decision, a.place AS alt, a.market, a.place = c.place AS chosen, a.households, a.land1, a.score1 FROM alt c JOIN alt a USING (market)),
   prob AS (SELECT *, (households + 20.0 * land1 + 50.0 * score1) / sum(households + 20.0 * land1 + 50.0 * score1) OVER (PARTITION BY decision) AS p FROM dec),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY decision ORDER BY p DESC, alt) AS rk, sum(p) OVER (PARTITION BY decision ORDER BY p DESC, alt ROWS UNBOUNDED PRECEDING) AS cum, count(*) OVER (PARTITION BY decision) AS n FROM prob)"""
 BETA = [1.0, 20.0, 50.0]
@@ -26,7 +26,7 @@ BETA = [1.0, 20.0, 50.0]
 def alternatives(spark, sf_dir):
     """One row per decision and alternative: the places of the chooser's market (county and segment)."""
     alt = places(spark, sf_dir).select("place", F.concat_ws("-", F.col("county_id").cast("string"), "segment").alias("market"), "households", F.greatest("land", F.lit(0.5)).alias("land1"), ((F.col("score") + 1000) / 1000).alias("score1"))
-    made = alt.filter(F.col("place") % 3 == 0).select(F.col("place").alias("decision"), "market")
+    made = alt.select(F.col("place").alias("decision"), "market")
     return made.join(alt, "market").select("decision", F.col("place").alias("alt"), "market", (F.col("place") == F.col("decision")).alias("chosen"), *COLUMNS)
 
 
@@ -60,7 +60,7 @@ def choice_topk(spark, sf_dir):
   sets AS (SELECT decision, count(*) FILTER (WHERE cum - p < q.s - 1e-12) AS size, bool_or(chosen AND cum - p < q.s - 1e-12) AS covered FROM ranked, q GROUP BY decision)
   SELECT round((SELECT s FROM q), 8) AS q_hat, count(*) AS decisions, round(avg(covered::INT), 8) AS coverage, round(avg(size), 6) AS mean_size, round(quantile_cont(size, 0.5), 6) AS median_size FROM sets""")
 def conformal_sets(spark, sf_dir):
-    """Adaptive prediction sets."""
+    """Adaptive prediction sets."""
     r = choice.ranked(chosen_probabilities(spark, sf_dir), "decision", "alt")
     q = metrics.conformal_quantile(r.filter("chosen"), "cumulative", 0.1)
     inside = F.col("cumulative") - F.col("p") < q - 1e-12
@@ -247,14 +247,17 @@ def p_median(spark, sf_dir):
 
 @query()
 def portfolio_select(spark, sf_dir):
-    """Sites within a budget, against a bound. Candidates are the site table, whose size is checked."""
-    s = sites(spark, sf_dir).select("site", "site_lat", "site_lon", "mass").orderBy("site").limit(5001).toPandas()
-    if len(s) > 5000:
-        raise ValueError("a portfolio of more than 5000 candidates needs a screen first")
-    miles = siting.miles_matrix(s.site_lat.to_numpy(), s.site_lon.to_numpy(), s.site_lat.to_numpy(), s.site_lon.to_numpy())
-    value, cost, overlap = s.mass.to_numpy(), 100 + s.site.to_numpy() % 7 * 25.0, 0.3 * np.exp(-miles / 5)
-    budget = 1500.0
-    chosen, total = siting.portfolio(value, cost, overlap, budget, swaps=3)
+    """Sites within a budget, against a bound. Overlaps are pairs within 30 miles, found by the grid; the driver holds the site table and these."""
+    from gridfold.operators import geo
+
+    s = sites(spark, sf_dir).select("site", "site_lat", "site_lon", "mass")
+    near = geo.radius_join(s.select(F.col("site").alias("of"), F.col("site_lat").alias("lat"), F.col("site_lon").alias("lon")), s, 30.0).filter("of <> site").select("of", "site", (0.3 * F.exp(-F.col("miles") / 5)).alias("by"))
+    s, near = s.orderBy("site").toPandas(), near.toPandas()
+    at = {k: i for i, k in enumerate(s.site)}
+    pairs = {at[k]: (np.array([at[x] for x in g.site]), g.by.to_numpy()) for k, g in near.groupby("of")}
+    overlap = [pairs.get(i, (np.empty(0, np.int64), np.empty(0))) for i in range(len(s))]
+    value, cost, budget = s.mass.to_numpy(), 100 + s.site.to_numpy() % 7 * 25.0, 1500.0
+    chosen, total = siting.portfolio(value, cost, overlap, budget)
     bound = siting.portfolio_bound(value, cost, budget)
     return spark.createDataFrame([(int(s.site[j]), float(value[j]), float(total), float(bound)) for j in chosen], "site long, value double, total double, bound double")
 
@@ -272,6 +275,11 @@ def monte_carlo_bands(spark, sf_dir):
     return q.select(F.col("q")[0].alias("p10"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p90"), "sd")
 
 
+LINKED = """lf AS (SELECT p_partkey AS rid, CASE WHEN p_partkey % 5 = 1 THEN p_partkey // 5 * 5 ELSE p_partkey END AS o FROM part),
+  pa AS (SELECT rid, o, (100 + o % 900)::VARCHAR AS house, ['N', 'S', '', 'W'][o % 4 + 1] AS predir, ['MAPLE', 'GRANT LINE', 'ST HELENS', 'COMMERCE CENTER', 'ELK HORN', 'LOGISTICS'][o % 6 + 1] AS street FROM lf),
+  keyed AS (SELECT rid, 'N|S' || (o % 20)::VARCHAR || '|' || house AS key FROM pa UNION ALL SELECT rid, 'S|S' || (o % 20)::VARCHAR || '|' || left(replace(street, ' ', ''), 5) FROM pa), block AS (SELECT key, count(*) AS n FROM keyed GROUP BY key)"""
+
+
 def link_fixture(spark, sf_dir):
     """Addresses made from the part table: every fifth is another spelling of the one before."""
     k = F.col("p_partkey")
@@ -281,7 +289,7 @@ def link_fixture(spark, sf_dir):
     return table(spark, sf_dir, "part").select(k.alias("rid"), street.alias("street"), F.concat(F.lit("City"), (of % 40).cast("string")).alias("city"), F.concat(F.lit("S"), (of % 20).cast("string")).alias("state"), C.zpad((of % 300).cast("string"), 5).alias("zip"), F.lit("").alias("code"))
 
 
-@query()
+@query(f"WITH {LINKED} SELECT rid, house, predir, street, 'RD' AS suffix, '' AS postdir, '' AS unit, '' AS code, house AS number, replace(street, ' ', '') AS core, concat_ws(' ', house, nullif(predir, ''), street, 'RD') AS key FROM pa")
 def address_parse(spark, sf_dir):
     """F4."""
     from gridfold.functions.text import address
@@ -289,7 +297,13 @@ def address_parse(spark, sf_dir):
     return link_fixture(spark, sf_dir).select("rid", address("street").alias("a")).select("rid", "a.*")
 
 
-@query()
+@query(f"WITH {LINKED} SELECT key, n FROM block WHERE n > 200")
+def link_skipped(spark, sf_dir):
+    """Blocks above the largest size, which make no pairs in link_candidates; a finer key is the way to compare their records."""
+    return linkage.skipped_blocks(linkage.link_records(link_fixture(spark, sf_dir)))
+
+
+@query(f"WITH {LINKED} SELECT DISTINCT x.rid AS a, y.rid AS b FROM keyed x JOIN keyed y USING (key) JOIN block USING (key) WHERE x.rid < y.rid AND n <= 200")
 def link_candidates(spark, sf_dir):
     """J14 J15 L2."""
     return linkage.candidate_pairs(linkage.link_records(link_fixture(spark, sf_dir)))
@@ -304,7 +318,7 @@ def link_verdicts(spark, sf_dir):
 
 @query()
 def link_groups(spark, sf_dir):
-    """L3 L4 L12 L13."""
+    """L3 L4."""
     r = linkage.link_records(link_fixture(spark, sf_dir)).cache()
     return linkage.groups(r, linkage.compare(linkage.candidate_pairs(r), r))
 

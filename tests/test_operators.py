@@ -40,6 +40,17 @@ def test_nearest_by_rings_equals_broadcast(spark):
     assert whole == rings and None not in whole.values()
 
 
+def test_nearest_by_rings_reaches_the_whole_sphere(spark):
+    """A site on the other side, a pole, the date line, and a row whose condition no site meets."""
+    left = spark.createDataFrame([(1, 10.0, 20.0, 0), (2, -9.0, -159.0, 0), (3, 89.5, 0.0, 0), (4, 10.0, 179.9, 7)], "p long, lat double, lon double, own int")
+    right = spark.createDataFrame([(k, -10.0 - k / 100, -160.0, 7) for k in range(8)], "s long, site_lat double, site_lon double, site_own int")
+    other = F.col("own") != F.col("site_own")
+    whole = {r.p: (r.s, r.miles) for r in geo.nearest(left, right, "p", "s", other=other).collect()}
+    rings = {r.p: (r.s, r.miles) for r in geo.nearest(left, right, "p", "s", other=other, broadcast_sites=5).collect()}
+    assert whole == rings and whole[4] == (None, None) and whole[1][1] > 11_000
+
+
+
 def test_latest_before_is_strict(spark):
     d = spark.createDataFrame([("k", 2018), ("k", 2017), ("k", 2020), ("z", 2020)], "k string, t long")
     v = spark.createDataFrame([("k", 2017, 1.0), ("k", 2018, 2.0)], "k string, y long, v double")
@@ -245,12 +256,34 @@ def test_p_median_against_enumeration():
     assert siting.p_median(np.array([[0.0, 50], [50, 0]]), np.array([60, 40]), 1).tolist() == [0]
 
 
-def test_portfolio_stays_below_its_bound():
+def test_depots_of_large_areas_are_solved_by_blocks(spark):
+    rng = np.random.default_rng(9)
+    rows = spark.createDataFrame([(k % 2, k, float(x), float(y), 10.0 + k % 5) for k, (x, y) in enumerate(rng.uniform(38, 40, (700, 2)))], "area long, place long, lat double, lon double, parcels double")
+    order = lambda df: sorted((r.area, r.depot, r.depots, round(r.objective, 6)) for r in df.collect())
+    kept = order(siting.depot_network(rows, "area", per_depot=800.0))
+    assert kept == order(siting.depot_network(rows, "area", per_depot=800.0, whole=10)) and len(kept) > 6
+
+
+def test_portfolio_against_enumeration():
+    """Never above the bound, totals as the definition gives them, near the best of all subsets, and no single swap helps."""
     rng = np.random.default_rng(7)
-    value, cost_ = rng.uniform(1, 9, 12), rng.uniform(1, 3, 12)
-    overlap = rng.uniform(0, 0.2, (12, 12))
-    chosen, total = siting.portfolio(value, cost_, overlap, 8.0)
-    assert cost_[chosen].sum() <= 8 and total <= siting.portfolio_bound(value, cost_, 8.0) + 1e-9
+    for _ in range(8):
+        n, budget = 9, 7.0
+        value, cost_ = rng.uniform(1, 9, n), rng.uniform(1, 3, n)
+        o = rng.uniform(0, 0.4, (n, n)) * (rng.random((n, n)) < 0.5)
+        o = (o + o.T) / 2
+        np.fill_diagonal(o, 0)
+        near = [(np.flatnonzero(o[j]), o[j][np.flatnonzero(o[j])]) for j in range(n)]
+        worth = lambda c: float((value[list(c)] * np.exp(-o[np.ix_(list(c), list(c))].sum(axis=1))).sum()) if len(c) else 0.0  # noqa: B023, E731
+        chosen, total = siting.portfolio(value, cost_, near, budget)
+        assert cost_[chosen].sum() <= budget + 1e-9 and abs(total - worth(chosen)) < 1e-9
+        assert total <= siting.portfolio_bound(value, cost_, budget) + 1e-9
+        best = max(worth(c) for k in range(n + 1) for c in itertools.combinations(range(n), k) if cost_[list(c)].sum() <= budget)
+        assert total > 0.9 * best
+        for i in chosen:
+            for j in set(range(n)) - set(chosen):
+                swap = sorted({*chosen, j} - {i})
+                assert cost_[swap].sum() > budget or worth(swap) <= total + 1e-8
 
 
 def test_draws_do_not_depend_on_partitions(spark):
