@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from gridfold.functions.columns import RADIUS_COST, haversine
 from gridfold.operators.storage import materialise, shared_dir
 
-#: Sites up to which the nearest one is sought by a broadcast, and distances per row then; more go by growing rings.
-BROADCAST_SITES = 2_000
+#: Sites up to which the nearest one is sought by a broadcast: distances per point then. More go by growing rings.
+BROADCAST_SITES = 200
 _SLACK = 1.001
 
 
@@ -25,8 +25,8 @@ def _band_width(band: Column, height: float) -> Column:
     return height / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(89.9), far))))
 
 
-def radius_join(left: DataFrame, right: DataFrame, miles: float, *, a=("lat", "lon"), b=("site_lat", "site_lon"), radius: float = RADIUS_COST, distance: str = "miles") -> DataFrame:
-    """All pairs at most so many miles apart, with their distance. The right side is the one put into nine cells: give the smaller."""
+def radius_join(left: DataFrame, right: DataFrame, miles: float, *, a=("lat", "lon"), b=("site_lat", "site_lon"), radius: float = RADIUS_COST, distance: str = "miles", on: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs at most so many miles apart (and equal in the columns on), with their distance. The right side is the one put into nine cells: give the smaller."""
     height = math.degrees(miles / radius) * _SLACK
     band = F.floor(F.col(a[0]) / height)
     own = left.withColumn("_band", band).withColumn("_cell", F.floor(F.col(a[1]) / _band_width(F.col("_band"), height)))
@@ -35,39 +35,44 @@ def radius_join(left: DataFrame, right: DataFrame, miles: float, *, a=("lat", "l
     bands = bands.withColumn("_turn", F.explode(turns))
     centre = F.floor((F.col(b[1]) + F.col("_turn")) / _band_width(F.col("_band"), height))
     cells = bands.withColumn("_cell", F.explode(F.sequence(centre - 1, centre + 1))).drop("_turn")
-    pairs = own.join(cells, ["_band", "_cell"]).withColumn(distance, haversine(F.col(a[0]), F.col(a[1]), F.col(b[0]), F.col(b[1]), radius))
+    pairs = own.join(cells, ["_band", "_cell", *on]).withColumn(distance, haversine(F.col(a[0]), F.col(a[1]), F.col(b[0]), F.col(b[1]), radius))
     return pairs.filter(F.col(distance) <= miles).drop("_band", "_cell")
 
 
-def all_pairs(left: DataFrame, sites: DataFrame, *, broadcast_sites: int = BROADCAST_SITES, radius: float = RADIUS_COST) -> DataFrame:
+#: Sites up to which all_pairs broadcasts them.
+ALL_PAIRS_SITES = 20_000
+
+
+def all_pairs(left: DataFrame, sites: DataFrame, *, broadcast_sites: int = ALL_PAIRS_SITES, radius: float = RADIUS_COST) -> DataFrame:
     """Every left row with every site and their distance, for sums over all sites. Few sites (counted) are broadcast, more are not."""
     few = sites.limit(broadcast_sites + 1).count() <= broadcast_sites
     return left.crossJoin(F.broadcast(sites) if few else sites).withColumn("miles", haversine("lat", "lon", "site_lat", "site_lon", radius))
 
 
-def nearest(left: DataFrame, sites: DataFrame, key: str, site: str, *, other: Column | None = None, radius: float = RADIUS_COST, broadcast_sites: int = BROADCAST_SITES, first_miles: float = 10.0) -> DataFrame:
+def nearest(left: DataFrame, sites: DataFrame, site: str, *, other: Column | None = None, same: tuple[str, ...] = (), radius: float = RADIUS_COST, broadcast_sites: int = BROADCAST_SITES, first_miles: float = 10.0) -> DataFrame:
     """Each left row's nearest site (column site) and its distance; of equally near ones the smallest. Rows without any get nulls.
 
-    other: a condition that a pair must meet, such as not the row's own site.
+    other: a condition that a pair must meet, such as not the row's own site; same: the left's columns in it. Rows that
+    agree in coordinates and these columns share one search.
     """
-    n = sites.limit(broadcast_sites + 1).count()
-    best = lambda pairs: pairs.groupBy(key).agg(F.min(F.struct("miles", site)).alias("_best")).select(key, F.col(f"_best.{site}").alias(site), F.col("_best.miles").alias("miles"))
+    keys = ["lat", "lon", *same]
+    points = left.select(*keys).distinct()
+    best = lambda pairs: pairs.groupBy(*keys).agg(F.min(F.struct("miles", site)).alias("_best")).select(*keys, F.col(f"_best.{site}").alias(site), F.col("_best.miles").alias("miles"))
     ok = F.lit(True) if other is None else other
-    if n <= broadcast_sites:
-        pairs = left.join(F.broadcast(sites), ok).withColumn("miles", haversine("lat", "lon", "site_lat", "site_lon", radius))
-        found = best(pairs)
+    if sites.limit(broadcast_sites + 1).count() <= broadcast_sites:
+        found = best(points.join(F.broadcast(sites), ok).withColumn("miles", haversine("lat", "lon", "site_lat", "site_lon", radius)))
     else:
-        # rows that share coordinates could share a search only without a condition of their own
         folder, whole = shared_dir(left.sparkSession, "nearest"), math.pi * radius
-        found, rest, miles, step = None, left, min(first_miles, whole), 0
+        points = rest = materialise(points.dropna(subset=["lat", "lon"]), f"{folder}/points")
+        found, miles, step = None, min(first_miles, whole), 0
         while True:
             ring = materialise(best(radius_join(rest, sites, miles, radius=radius).filter(ok)), f"{folder}/{step}")
             found = ring if found is None else found.unionByName(ring)
-            rest = left.join(found.select(key), key, "left_anti")
+            rest = points.join(found.select(*keys), keys, "left_anti")
             if miles >= whole or rest.isEmpty():
                 break
             miles, step = min(8 * miles, whole), step + 1  # the last ring is the whole sphere
-    return left.join(found, key, "left")
+    return left.join(found, keys, "left")
 
 
 def neighbour_sums(points: DataFrame, key: str, miles: float, weights: list[str], radius: float = RADIUS_COST) -> DataFrame:

@@ -28,7 +28,7 @@ def radius_pairs(spark, sf_dir):
 @query(f"{BASE}, {NEAREST} SELECT place, site, round(miles, 6) AS miles FROM nearest")
 def nearest_site(spark, sf_dir):
     """Ties go to the smaller site."""
-    out = geo.nearest(places(spark, sf_dir).select("place", "lat", "lon"), sites(spark, sf_dir).select("site", "site_lat", "site_lon"), "place", "site")
+    out = geo.nearest(places(spark, sf_dir).select("place", "lat", "lon"), sites(spark, sf_dir).select("site", "site_lat", "site_lon"), "site")
     return out.select("place", "site", F.round("miles", 6).alias("miles"))
 
 
@@ -36,7 +36,7 @@ def nearest_site(spark, sf_dir):
 def nearest_site_excl_own(spark, sf_dir):
     """Leave-one-out by the place's own county."""
     left = places(spark, sf_dir).select("place", "county_id", "lat", "lon")
-    out = geo.nearest(left, sites(spark, sf_dir).select("site", "site_county_id", "site_lat", "site_lon"), "place", "site", other=F.col("county_id") != F.col("site_county_id"))
+    out = geo.nearest(left, sites(spark, sf_dir).select("site", "site_county_id", "site_lat", "site_lon"), "site", other=F.col("county_id") != F.col("site_county_id"), same=("county_id",))
     return out.filter("site IS NOT NULL").select("place", "site", F.round("miles", 6).alias("miles"))
 
 
@@ -45,7 +45,7 @@ def nearest_other_group(spark, sf_dir):
     """The nearest site of another county."""
     s = sites(spark, sf_dir)
     left = s.select(F.col("site").alias("place"), F.col("site_county_id").alias("county_id"), F.col("site_lat").alias("lat"), F.col("site_lon").alias("lon"))
-    out = geo.nearest(left, s.select("site", "site_county_id", "site_lat", "site_lon"), "place", "site", other=F.col("county_id") != F.col("site_county_id"), radius=C.RADIUS_METRO)
+    out = geo.nearest(left, s.select("site", "site_county_id", "site_lat", "site_lon"), "site", other=F.col("county_id") != F.col("site_county_id"), same=("county_id",), radius=C.RADIUS_METRO)
     return out.filter("site IS NOT NULL").select("place", F.round("miles", 6).alias("miles"))
 
 
@@ -60,7 +60,7 @@ def neighbour_sum(spark, sf_dir):
   SELECT radius, county_id, count(*) FILTER (WHERE miles <= radius) AS covered, count(*) FILTER (WHERE miles > radius) AS uncovered, round(coalesce(sum(households) FILTER (WHERE miles <= radius), 0), 1) AS covered_households, bool_and(miles <= radius) AS fully_covered FROM nearest JOIN places USING (place), r GROUP BY ALL""")
 def coverage_by_radius(spark, sf_dir):
     """A sweep of radii over one nearest-site pass."""
-    near = geo.nearest(places(spark, sf_dir).select("place", "county_id", "households", "lat", "lon"), sites(spark, sf_dir).select("site", "site_lat", "site_lon"), "place", "site")
+    near = geo.nearest(places(spark, sf_dir).select("place", "county_id", "households", "lat", "lon"), sites(spark, sf_dir).select("site", "site_lat", "site_lon"), "site")
     rows = near.withColumn("radius", F.explode(F.array(*[F.lit(r) for r in (2.0, 5.0, 10.0, 20.0, 40.0)])))
     inside = F.col("miles") <= F.col("radius")
     return rows.groupBy("radius", "county_id").agg(F.count_if(inside).alias("covered"), F.count_if(~inside).alias("uncovered"), F.round(F.coalesce(F.sum(F.when(inside, F.col("households"))), F.lit(0.0)), 1).alias("covered_households"), F.bool_and(inside).alias("fully_covered"))
@@ -69,7 +69,7 @@ def coverage_by_radius(spark, sf_dir):
 @query(f"{BASE}, {NEAREST} SELECT county_id, round(coalesce(sum(households) FILTER (WHERE miles > 5), 0), 1) AS uncovered_households, round(coalesce(sum(households) FILTER (WHERE miles > 5), 0) / sum(households), 6) AS share FROM nearest JOIN places USING (place) GROUP BY county_id")
 def uncovered_by_group(spark, sf_dir):
     """A16."""
-    near = geo.nearest(places(spark, sf_dir).select("place", "county_id", "households", "lat", "lon"), sites(spark, sf_dir).select("site", "site_lat", "site_lon"), "place", "site")
+    near = geo.nearest(places(spark, sf_dir).select("place", "county_id", "households", "lat", "lon"), sites(spark, sf_dir).select("site", "site_lat", "site_lon"), "site")
     gap = F.coalesce(F.sum(F.when(F.col("miles") > 5, F.col("households"))), F.lit(0.0))
     return near.groupBy("county_id").agg(F.round(gap, 1).alias("uncovered_households"), F.round(gap / F.sum("households"), 6).alias("share"))
 
@@ -77,7 +77,7 @@ def uncovered_by_group(spark, sf_dir):
 @query(f"{BASE}, {NEAREST} SELECT place, households, round(miles, 6) AS miles FROM nearest JOIN places USING (place) WHERE miles > 5 ORDER BY households DESC, place LIMIT 25")
 def top_uncovered(spark, sf_dir):
     """K2."""
-    near = geo.nearest(places(spark, sf_dir).select("place", "households", "lat", "lon"), sites(spark, sf_dir).select("site", "site_lat", "site_lon"), "place", "site")
+    near = geo.nearest(places(spark, sf_dir).select("place", "households", "lat", "lon"), sites(spark, sf_dir).select("site", "site_lat", "site_lon"), "site")
     return near.filter("miles > 5").orderBy(F.desc("households"), "place").limit(25).select("place", "households", F.round("miles", 6).alias("miles"))
 
 
@@ -88,7 +88,7 @@ def top_uncovered(spark, sf_dir):
 def white_space_backtest(spark, sf_dir):
     """Two rules raced at a cut year; hits and the discordant counts of a paired test."""
     p, s = places(spark, sf_dir).select("place", "county_id", "households", "lat", "lon"), sites(spark, sf_dir)
-    old = geo.nearest(p, s.filter("open_year < 2019").select("site", "site_lat", "site_lon"), "place", "site")
+    old = geo.nearest(p, s.filter("open_year < 2019").select("site", "site_lat", "site_lon"), "site")
     hit = geo.radius_join(p.select("place", "lat", "lon"), s.filter("open_year >= 2019").select("site_lat", "site_lon"), 3.0).select("place").distinct().withColumn("opened", F.lit(True))
     r = old.join(hit, "place", "left").withColumns({"opened": F.coalesce("opened", F.lit(False)), "by_size": F.row_number().over(Window.orderBy(F.desc("households"), "place")), "by_gap": F.row_number().over(Window.orderBy(F.desc_nulls_first("miles"), "place"))})
     n = F.col("n")
@@ -119,11 +119,13 @@ def gravity_terms(spark, sf_dir):
   SELECT j.place, round(sum(i.households * greatest(0, i.cur - {miles_sql('i.lat', 'i.lon', 'j.lat', 'j.lon', C.RADIUS_COST)})), 4) AS saving FROM c i JOIN c j ON i.county_id = j.county_id GROUP BY j.place""")
 def linehaul_saving(spark, sf_dir):
     """What a site at each candidate would save its county."""
-    near = geo.nearest(places(spark, sf_dir).select("place", "county_id", "households", "lat", "lon"), sites(spark, sf_dir).select("site", "site_lat", "site_lon"), "place", "site")
+    near = geo.nearest(places(spark, sf_dir).select("place", "county_id", "households", "lat", "lon"), sites(spark, sf_dir).select("site", "site_lat", "site_lon"), "site")
     c = near.withColumn("cur", F.least("miles", F.lit(40.0))).select("place", "county_id", "households", "lat", "lon", "cur")
     j = c.select(F.col("place").alias("candidate"), "county_id", F.col("lat").alias("site_lat"), F.col("lon").alias("site_lon"))
-    gain = F.col("households") * F.greatest(F.lit(0.0), F.col("cur") - C.haversine("lat", "lon", "site_lat", "site_lon"))
-    return c.join(j, "county_id").groupBy(F.col("candidate").alias("place")).agg(F.round(F.sum(gain), 4).alias("saving"))
+    # beyond 40 miles nothing is saved, so pairs within them are enough
+    gain = F.col("households") * F.greatest(F.lit(0.0), F.col("cur") - F.col("miles"))
+    saved = geo.radius_join(c, j, 40.0, on=("county_id",)).groupBy(F.col("candidate").alias("place")).agg(F.sum(gain).alias("saving"))
+    return c.select("place").join(saved, "place", "left").select("place", F.round(F.coalesce("saving", F.lit(0.0)), 4).alias("saving"))
 
 
 OPEN_Q = "open_year * 4 + coalesce(open_quarter, 1) - 1"
@@ -155,7 +157,7 @@ def _cost_sql(name: str, p: CostParameters = BASELINE) -> str:
 
 
 def costs(spark, sf_dir, p: CostParameters = BASELINE):
-    near = geo.nearest(places(spark, sf_dir), sites(spark, sf_dir).select("site", "site_lat", "site_lon"), "place", "site")
+    near = geo.nearest(places(spark, sf_dir), sites(spark, sf_dir).select("site", "site_lat", "site_lon"), "site")
     return evaluate(near.withColumnRenamed("miles", "linehaul"), p)
 
 
@@ -172,7 +174,7 @@ def cost_to_serve(spark, sf_dir):
 @query(f"{BASE}, {NEAREST}, " + ", ".join(_cost_sql(k, p) for k, p in SCENARIOS.items()) + ", m AS (" + " UNION ALL ".join(f"SELECT '{k}' AS scenario, quantile_cont(cost_per_parcel, 0.5) AS med, sum(cost_per_stop * daily_stops) AS daily_cost FROM {k}" for k in SCENARIOS) + ") SELECT scenario, round(med, 6) AS median_cost, round(daily_cost, 2) AS daily_cost, round(med / (SELECT med FROM m WHERE scenario = 'baseline'), 6) AS to_baseline FROM m")
 def cost_scenarios(spark, sf_dir):
     """The scenario sweep against the baseline."""
-    near = geo.nearest(places(spark, sf_dir), sites(spark, sf_dir).select("site", "site_lat", "site_lon"), "place", "site").withColumnRenamed("miles", "linehaul")
+    near = geo.nearest(places(spark, sf_dir), sites(spark, sf_dir).select("site", "site_lat", "site_lon"), "site").withColumnRenamed("miles", "linehaul")
     m = sweep(near, SCENARIOS).groupBy("scenario").agg(F.median("cost_per_parcel").alias("med"), F.sum("daily_cost").alias("daily_cost"))
     base = F.max(F.when(F.col("scenario") == "baseline", F.col("med"))).over(Window.partitionBy(F.lit(1)))
     return m.withColumn("base", base).select("scenario", F.round("med", 6).alias("median_cost"), F.round("daily_cost", 2).alias("daily_cost"), F.round(F.col("med") / F.col("base"), 6).alias("to_baseline"))

@@ -35,8 +35,8 @@ def test_nearest_by_rings_equals_broadcast(spark):
     rng = np.random.default_rng(1)
     left = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(30, 45, (60, 2)))], "p long, lat double, lon double")
     right = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(30, 45, (25, 2)))], "s long, site_lat double, site_lon double")
-    whole = {r.p: r.s for r in geo.nearest(left, right, "p", "s").collect()}
-    rings = {r.p: r.s for r in geo.nearest(left, right, "p", "s", broadcast_sites=5).collect()}
+    whole = {r.p: r.s for r in geo.nearest(left, right, "s").collect()}
+    rings = {r.p: r.s for r in geo.nearest(left, right, "s", broadcast_sites=5).collect()}
     assert whole == rings and None not in whole.values()
 
 
@@ -45,8 +45,8 @@ def test_nearest_by_rings_reaches_the_whole_sphere(spark):
     left = spark.createDataFrame([(1, 10.0, 20.0, 0), (2, -9.0, -159.0, 0), (3, 89.5, 0.0, 0), (4, 10.0, 179.9, 7)], "p long, lat double, lon double, own int")
     right = spark.createDataFrame([(k, -10.0 - k / 100, -160.0, 7) for k in range(8)], "s long, site_lat double, site_lon double, site_own int")
     other = F.col("own") != F.col("site_own")
-    whole = {r.p: (r.s, r.miles) for r in geo.nearest(left, right, "p", "s", other=other).collect()}
-    rings = {r.p: (r.s, r.miles) for r in geo.nearest(left, right, "p", "s", other=other, broadcast_sites=5).collect()}
+    whole = {r.p: (r.s, r.miles) for r in geo.nearest(left, right, "s", other=other, same=("own",)).collect()}
+    rings = {r.p: (r.s, r.miles) for r in geo.nearest(left, right, "s", other=other, same=("own",), broadcast_sites=5).collect()}
     assert whole == rings and whole[4] == (None, None) and whole[1][1] > 11_000
 
 
