@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridfold.functions import columns as C
-from gridfold.operators import facilities, metrics
+from gridfold.operators import facilities, linkage, metrics
 from gridfold.plans.panel import YEARS, _years, dense, dim_quarter_of, optional_block
+from gridfold.plans.proximity import CENTROIDS, centroids
 from gridfold.plans.registry import query
 from gridfold.plans.stand_ins import PLACES, SITES, places, sites, table
 
@@ -88,6 +89,16 @@ def facility_national(spark, sf_dir):
     return facilities.national(rows, {"FC": "fulfilment", "SC": "sorting", "DS": "delivery"}, 8080).select("site", "category", "operation", "confidence", "vouched")
 
 
+@query(f"""WITH {PLACES}, {SITES}, {CENTROIDS}, {_NATIONAL} SELECT k.site, CASE WHEN open_q IS NULL OR sqft IS NULL THEN 'schema' WHEN abs(site_lat - centre_lat) > 1.5 THEN 'geocode' WHEN k < 2 OR category = 'other' THEN 'confidence' END AS rejected_by
+  FROM known k JOIN sites s ON s.site = k.site LEFT JOIN centroid USING (site_county_id)""")
+def mutation_gates(spark, sf_dir):
+    """Ordered gates on typed facilities: fields present, coordinates near the county's centre, vouched for; the first that fails is named."""
+    rows = facilities.national(facilities.typed(raw_facilities(spark, sf_dir), numbers=["sqft"]), {"FC": "fulfilment", "SC": "sorting", "DS": "delivery"}, 8080)
+    where = sites(spark, sf_dir).select("site", "site_lat", "site_county_id").join(F.broadcast(centroids(spark, sf_dir)), "site_county_id", "left")
+    rows = rows.join(where, "site")
+    return linkage.gate(rows, [("schema", F.col("open_q").isNotNull() & F.col("sqft").isNotNull()), ("geocode", F.abs(F.col("site_lat") - F.col("centre_lat")) <= 1.5), ("confidence", F.col("vouched"))]).select("site", "rejected_by")
+
+
 _MERGE = """r AS (SELECT s_suppkey AS site, s_suppkey % 40 AS code, s_suppkey % 25 AS city, s_suppkey % 3 = 0 AS fresh FROM supplier), n AS (SELECT * FROM r WHERE fresh), b AS (SELECT * FROM r WHERE NOT fresh AND code % 5 > 0),
   tw AS (SELECT x.site, min(y.site) AS twin FROM n x JOIN n y ON x.code = y.code AND x.city = y.city AND x.site > y.site GROUP BY x.site), ba AS (SELECT x.site, min(y.site) AS base FROM n x JOIN b y ON x.code = y.code AND x.city = y.city GROUP BY x.site),
   rv AS (SELECT DISTINCT x.site FROM n x JOIN b y ON x.city = y.city AND x.code % 20 = y.code % 20 AND x.code <> y.code),

@@ -234,10 +234,21 @@ def cheapest_places(spark, sf_dir):
     return costs(spark, sf_dir).filter("cost_per_parcel IS NOT NULL").orderBy("cost_per_parcel", "place").limit(50).select("place", F.round("cost_per_parcel", 6).alias("cost_per_parcel"))
 
 
-@query(f"""WITH {PLACES}, {SITES}, v AS (SELECT site, 1000 AS parcels FROM sites) SELECT s_suppkey AS site, coalesce(round(s_acctbal * 0 + 38.5, 4), 0) AS lat, 'centroid' AS source FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey, round(38 + (s_suppkey * 137 % 400) / 100.0::DOUBLE, 4), 'geocoded' FROM supplier WHERE s_suppkey % 3 <> 0""")
+CENTROIDS = "centroid AS (SELECT county_id AS site_county_id, avg(lat) AS centre_lat, avg(lon) AS centre_lon FROM places GROUP BY county_id)"
+
+
+def centroids(spark, sf_dir):
+    """The middle of each county's places."""
+    return places(spark, sf_dir).groupBy(F.col("county_id").alias("site_county_id")).agg(F.avg("lat").alias("centre_lat"), F.avg("lon").alias("centre_lon"))
+
+
+@query(f"""WITH {PLACES}, {SITES}, {CENTROIDS} SELECT site, round(CASE WHEN site % 3 <> 0 THEN site_lat ELSE centre_lat END, 4) AS lat, round(CASE WHEN site % 3 <> 0 THEN site_lon ELSE centre_lon END, 4) AS lon, CASE WHEN site % 3 <> 0 THEN 'geocoded' WHEN centre_lat IS NOT NULL THEN 'centroid' ELSE 'none' END AS source FROM sites LEFT JOIN centroid USING (site_county_id)""")
 def resolve_coordinates(spark, sf_dir):
-    """Geocoded coordinates, else the centroid; the source is kept."""
-    s = sites(spark, sf_dir).select("site", F.when(F.col("site") % 3 != 0, F.col("site_lat")).alias("lat"))
-    return s.select("site", F.round(F.coalesce("lat", F.lit(38.5)), 4).alias("lat"), F.when(F.col("lat").isNull(), "centroid").otherwise("geocoded").alias("source"))
+    """Geocoded coordinates (here for two of three sites), else the county's centroid; the source is kept."""
+    known = F.col("site") % 3 != 0
+    s = sites(spark, sf_dir).withColumns({"lat": F.when(known, F.col("site_lat")), "lon": F.when(known, F.col("site_lon"))})
+    s = s.join(centroids(spark, sf_dir), "site_county_id", "left")
+    source = F.when(F.col("lat").isNotNull(), "geocoded").when(F.col("centre_lat").isNotNull(), "centroid").otherwise("none")
+    return s.select("site", F.round(F.coalesce("lat", "centre_lat"), 4).alias("lat"), F.round(F.coalesce("lon", "centre_lon"), 4).alias("lon"), source.alias("source"))
 
 

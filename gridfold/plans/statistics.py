@@ -385,14 +385,6 @@ def boosted_choice(spark, sf_dir):
     return resample.boosted_benchmark(alternatives(spark, sf_dir), "decision", "alt", "chosen", COLUMNS)
 
 
-@query("""WITH r AS (SELECT site, miles_gap FROM (SELECT s_suppkey AS site, s_suppkey % 9 AS miles_gap FROM supplier)) SELECT site, CASE WHEN site % 4 = 0 THEN 'schema' WHEN miles_gap > 6 THEN 'geocode' WHEN site % 5 = 1 THEN 'confidence' END AS rejected_by FROM r""")
-def mutation_gates(spark, sf_dir):
-    """Ordered gates; the first that fails is named."""
-    rows = sites(spark, sf_dir).select("site")
-    k = F.col("site")
-    return linkage.gate(rows, [("schema", k % 4 != 0), ("geocode", k % 9 <= 6), ("confidence", k % 5 != 1)])
-
-
 @query(f"""WITH {PLACES}, b AS (SELECT county_id, min(lat) AS y0, max(lat) AS y1, min(lon) AS x0, max(lon) AS x1 FROM places GROUP BY county_id) SELECT place, b.county_id AS area FROM places p JOIN b ON lat > y0 AND lat < y1 AND lon > x0 AND lon < x1""")
 def point_in_polygon(spark, sf_dir):
     """Boxes of counties as polygons (a point on an edge belongs to neither side here: the boxes' corners are places themselves)."""
