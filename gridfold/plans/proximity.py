@@ -9,6 +9,7 @@ from gridfold.functions import columns as C
 from gridfold.functions.ordered import smallest_mode
 from gridfold.operators import geo
 from gridfold.operators.cost import BASELINE, SCENARIOS, CostParameters, evaluate, sweep
+from gridfold.operators.prefix import running
 from gridfold.plans.panel import dim_quarter_of
 from gridfold.plans.registry import query
 from gridfold.plans.stand_ins import PLACES, SITES, miles_sql, places, sites
@@ -90,7 +91,11 @@ def white_space_backtest(spark, sf_dir):
     p, s = places(spark, sf_dir).select("place", "county_id", "households", "lat", "lon"), sites(spark, sf_dir)
     old = geo.nearest(p, s.filter("open_year < 2019").select("site", "site_lat", "site_lon"), "site")
     hit = geo.radius_join(p.select("place", "lat", "lon"), s.filter("open_year >= 2019").select("site_lat", "site_lon"), 3.0).select("place").distinct().withColumn("opened", F.lit(True))
-    r = old.join(hit, "place", "left").withColumns({"opened": F.coalesce("opened", F.lit(False)), "by_size": F.row_number().over(Window.orderBy(F.desc("households"), "place")), "by_gap": F.row_number().over(Window.orderBy(F.desc_nulls_first("miles"), "place"))})
+    # only the first 400 of each rule are asked for: two top lists, and ranks within them
+    seen = old.join(hit, "place", "left").withColumn("opened", F.coalesce("opened", F.lit(False)))
+    top = lambda name, *order: seen.orderBy(*order).limit(400).withColumn(name, F.row_number().over(Window.orderBy(*order))).select("place", "county_id", "opened", name)
+    r = top("by_size", F.desc("households"), "place").join(top("by_gap", F.desc_nulls_first("miles"), "place"), ["place", "county_id", "opened"], "full")
+    r = r.fillna(1 << 30, ["by_size", "by_gap"])
     n = F.col("n")
     a, b = F.col("opened") & (F.col("by_size") <= n), F.col("opened") & (F.col("by_gap") <= n)
     return r.withColumn("n", F.explode(F.array(*[F.lit(k).cast("long") for k in (25, 100, 400)]))).groupBy("n").agg(F.count_if(a).alias("size_hits"), F.count_if(b).alias("gap_hits"), F.count_if(a & ~b).alias("only_size"), F.count_if(b & ~a).alias("only_gap"), F.count_distinct(F.when(F.col("by_size") <= n, F.col("county_id"))).alias("size_counties"))
@@ -223,9 +228,9 @@ def cheapest_decile(spark, sf_dir):
 def cumulative_coverage(spark, sf_dir):
     """Cumulative shares by cost."""
     c = costs(spark, sf_dir).filter("cost_per_parcel IS NOT NULL").select("place", "cost_per_parcel", "daily_parcels")
+    ranked = running(c, ["cost_per_parcel", "place"], ["daily_parcels"])
     total = c.agg(F.sum("daily_parcels").alias("all_parcels"), F.count("*").alias("all_places"))
-    w = Window.orderBy("cost_per_parcel", "place")
-    return c.crossJoin(F.broadcast(total)).select("place", F.round(F.sum("daily_parcels").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.col("all_parcels"), 6).alias("parcel_share"), F.round(F.row_number().over(w) / F.col("all_places"), 6).alias("place_share"))
+    return ranked.crossJoin(F.broadcast(total)).select("place", F.round(F.col("running_daily_parcels") / F.col("all_parcels"), 6).alias("parcel_share"), F.round(F.col("rank") / F.col("all_places"), 6).alias("place_share"))
 
 
 @query(f"{COST} SELECT place, round(cost_per_parcel, 6) AS cost_per_parcel FROM cost WHERE cost_per_parcel IS NOT NULL ORDER BY cost_per_parcel, place LIMIT 50")

@@ -286,6 +286,19 @@ def test_portfolio_against_enumeration():
                 assert cost_[swap].sum() > budget or worth(swap) <= total + 1e-8
 
 
+def test_running_sums_by_ranges(spark):
+    from gridfold.operators.prefix import running
+
+    rng = np.random.default_rng(4)
+    rows = [(k, float(v), None if k % 9 == 0 else int(k % 5)) for k, v in enumerate(rng.integers(0, 40, 300))]
+    got = {r.k: (r["rank"], r.running_n) for r in running(spark.createDataFrame(rows, "k long, v double, n long").repartition(5), [F.desc("v"), "k"], ["n"]).collect()}
+    total = 0
+    for place, (k, _, n) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1):
+        total += n or 0
+        assert got[k] == (place, total)
+    assert running(spark.createDataFrame([], "k long, n long"), ["k"], ["n"]).count() == 0
+
+
 def test_draws_do_not_depend_on_partitions(spark):
     u = siting.uniform_of(F.col("id"), "speed", 3)
     a = spark.range(500).repartition(1).select("id", u.alias("u"), siting.triangular(u, 1.0, 2.0, 4.0).alias("t")).orderBy("id").collect()
