@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -101,10 +102,11 @@ def depot_network(places: DataFrame, area: str, *, parcels: str = "parcels", per
 
 
 class _Exposure:
-    """A portfolio with each site's exposure to the chosen ones, kept up to date as sites come and go."""
+    """A portfolio with each site's exposure to the chosen ones, kept up to date as sites come and go. A site is worth fixed + value * exp(-exposure)."""
 
-    def __init__(self, value: np.ndarray, overlap: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, value: np.ndarray, overlap: list[tuple[np.ndarray, np.ndarray]], fixed: np.ndarray | None = None):
         self.value, self.overlap, self.exposure, self.chosen = value, overlap, np.zeros(len(value)), np.zeros(len(value), bool)
+        self.fixed = np.zeros(len(value)) if fixed is None else fixed
 
     def change(self, j: int, sign: int) -> None:
         near, by = self.overlap[j]
@@ -112,13 +114,13 @@ class _Exposure:
         self.chosen[j] = sign > 0
 
     def total(self) -> float:
-        return float((self.value * np.exp(-self.exposure))[self.chosen].sum())
+        return float((self.fixed + self.value * np.exp(-self.exposure))[self.chosen].sum())
 
     def gain(self, j: int) -> float:
         """What adding j adds: its own value less what its chosen neighbours lose."""
         near, by = self.overlap[j]
         lost = np.where(self.chosen[near], self.value[near] * np.exp(-self.exposure[near]) * (1 - np.exp(-by)), 0.0)
-        return float(self.value[j] * np.exp(-self.exposure[j]) - lost.sum())
+        return float(self.fixed[j] + self.value[j] * np.exp(-self.exposure[j]) - lost.sum())
 
     def touched(self, j: int) -> np.ndarray:
         """Sites whose gain j's coming or going may change: its neighbours and those of its chosen neighbours."""
@@ -126,14 +128,14 @@ class _Exposure:
         return np.unique(np.concatenate([[j], near, *[self.overlap[k][0] for k in near[self.chosen[near]]]]).astype(np.int64))
 
 
-def portfolio(value: np.ndarray, cost: np.ndarray, overlap: list[tuple[np.ndarray, np.ndarray]], budget: float, swaps: int | None = None) -> tuple[list[int], float]:
-    """Sites of most total value within a budget: each site's value shrinks by exp(-exposure) to the chosen ones.
+def portfolio(value: np.ndarray, cost: np.ndarray, overlap: list[tuple[np.ndarray, np.ndarray]], budget: float, swaps: int | None = None, fixed: np.ndarray | None = None) -> tuple[list[int], float]:
+    """Sites of most total value within a budget: each site's value shrinks by exp(-exposure) to the chosen ones; its fixed part (if given) doesn't.
 
     overlap: each site's neighbours (without itself) and how far they expose it. Greedy by gain per cost, then the best swap
     as long as one helps (at most so many). After a change only the gains around it are worked out anew.
     """
-    state, n = _Exposure(value, overlap), len(value)
-    gains = value.astype(float).copy()
+    state, n = _Exposure(value, overlap, fixed), len(value)
+    gains = state.fixed + value.astype(float)
     left = budget
 
     def update(j: int, into: np.ndarray) -> None:
@@ -190,6 +192,60 @@ def portfolio_bound(value: np.ndarray, cost: np.ndarray, budget: float) -> float
     return out
 
 
+@dataclass(frozen=True)
+class Activation:
+    """What a portfolio of activated sites is valued by: capital per site, discounting, lost parcels and shared line-haul near others."""
+
+    capital: float = 4_000_000.0
+    years: int = 10
+    rate: float = 0.08
+    lost: float = 0.25
+    shared: float = 0.35
+
+    @property
+    def annuity(self) -> float:
+        return sum((1 + self.rate) ** -t for t in range(1, self.years + 1))
+
+
+def activation_value(parcels: np.ndarray, cost: np.ndarray, linehaul: np.ndarray, overlap: list[tuple[np.ndarray, np.ndarray]], chosen: list[int], terms: Activation) -> dict[str, float]:
+    """A portfolio's yearly parcels and cost, capital, present values and the margin per parcel at which it breaks even (infinite when empty)."""
+    state = _Exposure(np.zeros(len(parcels)), overlap)
+    for j in chosen:
+        state.change(j, 1)
+    decay = -np.expm1(-state.exposure)[state.chosen]
+    sold = float((parcels[state.chosen] * (1 - terms.lost * decay)).sum())
+    paid = float((cost[state.chosen] - linehaul[state.chosen] * terms.shared * decay).sum())
+    capital = len(chosen) * terms.capital
+    a, b = sold * terms.annuity, paid * terms.annuity + capital
+    return {"n": len(chosen), "parcels": sold, "cost": paid, "capital": capital, "per_margin": a, "fixed": -b, "breakeven": b / a if a > 0 else math.inf}
+
+
+def activate(parcels: np.ndarray, cost: np.ndarray, linehaul: np.ndarray, overlap: list[tuple[np.ndarray, np.ndarray]], capacity: int, margin: float, terms: Activation, swaps: int | None = None) -> tuple[list[int], float]:
+    """At most so many sites of most net present value at a margin, and that value.
+
+    Per site it is fixed + value * exp(-exposure), so the portfolio search applies with unit costs: greedy, then swaps.
+    """
+    value = terms.annuity * (margin * parcels * terms.lost - linehaul * terms.shared)
+    alone = terms.annuity * (margin * parcels - cost) - terms.capital
+    return portfolio(value, np.ones(len(parcels)), overlap, float(capacity), swaps, fixed=alone - value)
+
+
+def ratio_bound(rows: DataFrame, a: str, b: str, k: int, steps: int = 50) -> float:
+    """The least sum(b) / sum(a) of exactly k rows, by Dinkelbach's iteration: one top list per step, two sums on the driver."""
+    order = F.col(b) / F.when(F.col(a) > 0, F.col(a))
+    ratio = math.inf
+    for _ in range(steps):
+        s = rows.orderBy(order.asc_nulls_last(), F.col(a), F.col(b)).limit(k).agg(F.sum(a).alias("a"), F.sum(b).alias("b")).first()
+        if not s.a or s.a <= 0:
+            return ratio
+        new = s.b / s.a
+        if abs(new - ratio) < 1e-12:
+            return new
+        ratio = new
+        order = F.col(b) - ratio * F.col(a)
+    return ratio
+
+
 def triangular(u, low: float, mode: float, high: float):
     """Inverse distribution function, as a Column of a uniform Column."""
     cut = (mode - low) / (high - low)
