@@ -88,3 +88,18 @@ def check_schema(df: DataFrame, required: Iterable[str], vocabularies: Mapping[s
         return {}
     row = df.agg(*[F.count_if(F.coalesce(v, F.lit(False))).alias(k) for k, v in checks.items()]).first()
     return {k: row[k] for k in checks}
+
+
+def check_report(df: DataFrame, required: Iterable[str], errors: Mapping[str, Column], warnings: Mapping[str, Column] | None = None, stats: Mapping[str, Column] | None = None) -> DataFrame:
+    """level (error, warning, stat), name, n (rows for which the condition holds; unknown counts as not), ok (errors only: n is 0).
+
+    One pass over the table. A missing column is an error row of its own, and then nothing else is looked at.
+    """
+    spark = df.sparkSession
+    if missing := sorted(set(required) - set(df.columns)):
+        return spark.createDataFrame([("error", f"missing column {c}", 1, False) for c in missing], "level string, name string, n long, ok boolean")
+    checks = [(level, name, c) for level, own in (("error", errors), ("warning", warnings or {}), ("stat", stats or {})) for name, c in own.items()]
+    counted = df.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(f"c{k}") for k, (_, _, c) in enumerate(checks)])
+    rows = F.array(*[F.struct(F.lit(level).alias("level"), F.lit(name).alias("name"), F.col(f"c{k}").alias("n")) for k, (level, name, _) in enumerate(checks)])
+    out = counted.select(F.explode(rows).alias("r")).select("r.*")
+    return out.withColumn("ok", F.when(F.col("level") == "error", F.col("n") == 0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridfold.plans import activation, facilities, panel, proximity, relational, statistics, white_space
+from gridfold.plans import activation, facilities, panel, proximity, relational, statistics, white_space, workbooks
 from gridfold.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "activation", "facilities", "panel", "proximity", "relational", "statistics", "white_space"]
+__all__ = ["ORACLES", "QUERIES", "activation", "facilities", "panel", "proximity", "relational", "statistics", "white_space", "workbooks"]

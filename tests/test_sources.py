@@ -94,3 +94,22 @@ def test_fetch_caches_and_retries(tmp_path):
     with pytest.raises(ValueError):
         fetch("http://x/b.zip", str(tmp_path), expect="zip", opener=lambda u, t: (b"<html>", "text/html"))
     assert len((tmp_path / "manifest.jsonl").read_text().splitlines()) == 1
+
+
+def test_workbooks(spark, tmp_path):
+    from gridfold.sources import excel
+
+    rows = [["Title"], ["code", None, " name ", "n"], ["00601", "x", "a & <b>", 7], [None, None, "c", 1.5], ["é", None, None, None]]
+    (tmp_path / "a.xlsx").write_bytes(excel.workbook(rows))
+    got = excel.excel(spark, str(tmp_path / "a.xlsx"), header=1)
+    assert got.columns == ["code", "name", "n"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("00601", "a & <b>", "7"), (None, "c", "1.5"), ("é", None, None)], key=str)
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("d/One.XLSX", excel.workbook([["k"], *[[i] for i in range(6000)]], "Data & more"))
+    assert excel.excel(spark, str(tmp_path / "a.zip"), member="one.xlsx", sheet="Data & more").agg({"k": "count"}).first()[0] == 6000
+    with pytest.raises(Exception, match="no member"):
+        excel.excel(spark, str(tmp_path / "a.zip"), member="two.xlsx")
+    with pytest.raises(readers.SourceMissing):
+        excel.excel(spark, str(tmp_path / "a.xlsx"), header=9)
+    wide = excel.workbook([[f"c{k}" for k in range(30)], list(range(30))])
+    assert next(r for at, r in excel.cells_of(wide) if at == 1)[26] == "26"

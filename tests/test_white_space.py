@@ -71,3 +71,12 @@ def test_activation_against_enumeration(spark):
     least = min(b[list(c)].sum() / a[list(c)].sum() for c in itertools.combinations(range(n), k))
     assert siting.ratio_bound(rows, "a", "b", k) == pytest.approx(least)
     assert siting.activation_value(parcels, cost, linehaul, near, [], terms)["breakeven"] == float("inf")
+
+
+def test_check_report(spark):
+    from gridfold.operators.quality import check_report
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
+    got = {r.name: (r.level, r.n, r.ok) for r in check_report(df, ["k"], {"odd": F.col("v") == "a"}, {"none": F.col("v").isNull()}, {"rows": F.lit(True)}).collect()}
+    assert got == {"odd": ("error", 1, False), "none": ("warning", 1, None), "rows": ("stat", 2, None)}
+    assert check_report(df, ["z"], {}).first().name == "missing column z"
