@@ -44,6 +44,34 @@ def candidate_pairs(records: DataFrame, largest: int = LARGEST_BLOCK) -> DataFra
     return small.withColumnRenamed("rid", "a").join(other, "key").filter("a < b").select("a", "b").distinct()
 
 
+def large_block_pairs(records: DataFrame, largest: int = LARGEST_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Pairs a < b of the blocks above the largest size, and the finer blocks that are still too large (key, n): none of theirs are made.
+
+    Every match of compare() stays connected. Records alike in all that is compared hang on the one with the smallest rid.
+    In a code's block, where equal codes decide, each state's records hang on its smallest rid, and that of each state on that
+    of the records without a state. Elsewhere a match needs the same house number and the same ZIP or city: these are the
+    finer blocks, and only one record of each kind is in them.
+    """
+    alike = ["state", "city", "zip", "code", "addr"]
+    keyed = records.select("rid", *alike, F.explode(blocking_keys()).alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > largest).select("key")
+    big = keyed.join(sizes, "key", "left_semi")
+    kinds = big.groupBy("key", *alike).agg(F.min("rid").alias("least"))
+    same = lambda c: F.col(f"x.{c}") == F.col(f"y.{c}")
+    twins = big.alias("x").join(kinds.alias("y"), (same("key") & same("state") & same("city") & same("zip") & same("code") & same("addr"))).select(F.col("least").alias("a"), F.col("rid").alias("b"))
+    coded = kinds.filter(F.col("key").startswith("C|")).groupBy("key", "state").agg(F.min("least").alias("first"))
+    by_state = kinds.join(coded, ["key", "state"]).select(F.col("first").alias("a"), F.col("least").alias("b"))
+    stateless = coded.filter("state = ''").select("key", F.col("first").alias("none"))
+    over_states = coded.filter("state <> ''").join(stateless, "key").select(F.least("first", "none").alias("a"), F.greatest("first", "none").alias("b"))
+    finer = F.array_compact(F.array(*[F.when(F.col(c) != "", F.concat_ws("|", "key", "addr.number", F.lit(c), c)) for c in ("zip", "city")]))
+    split = kinds.filter(~F.col("key").startswith("C|")).select("least", F.explode(finer).alias("key"))
+    counts = split.groupBy("key").agg(F.count("*").alias("n"))
+    small = split.join(counts.filter(F.col("n").between(2, largest)).select("key"), "key", "left_semi")
+    others = small.withColumnRenamed("least", "a").join(small.withColumnRenamed("least", "b"), "key").select("a", "b")
+    pairs = twins.unionByName(by_state).unionByName(over_states).unionByName(others).filter("a < b").distinct()
+    return pairs, counts.filter(F.col("n") > largest)
+
+
 def skipped_blocks(records: DataFrame, largest: int = LARGEST_BLOCK) -> DataFrame:
     keyed = records.select("rid", F.explode(blocking_keys()).alias("key"))
     return keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > largest)

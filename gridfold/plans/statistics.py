@@ -299,7 +299,7 @@ def address_parse(spark, sf_dir):
 
 @query(f"WITH {LINKED} SELECT key, n FROM block WHERE n > 200")
 def link_skipped(spark, sf_dir):
-    """Blocks above the largest size, which make no pairs in link_candidates; a finer key is the way to compare their records."""
+    """Blocks above the largest size, which make no pairs in link_candidates; link_verdicts and link_groups take theirs from finer blocks."""
     return linkage.skipped_blocks(linkage.link_records(link_fixture(spark, sf_dir)))
 
 
@@ -309,18 +309,23 @@ def link_candidates(spark, sf_dir):
     return linkage.candidate_pairs(linkage.link_records(link_fixture(spark, sf_dir)))
 
 
+def _all_pairs(records):
+    """Candidate pairs, and those of the blocks that are too large for all pairs."""
+    return linkage.candidate_pairs(records).unionByName(linkage.large_block_pairs(records)[0]).distinct()
+
+
 @query()
 def link_verdicts(spark, sf_dir):
     """F3 L1."""
     r = linkage.link_records(link_fixture(spark, sf_dir)).cache()
-    return linkage.compare(linkage.candidate_pairs(r), r)
+    return linkage.compare(_all_pairs(r), r)
 
 
 @query()
 def link_groups(spark, sf_dir):
     """L3 L4."""
     r = linkage.link_records(link_fixture(spark, sf_dir)).cache()
-    return linkage.groups(r, linkage.compare(linkage.candidate_pairs(r), r))
+    return linkage.groups(r, linkage.compare(_all_pairs(r), r))
 
 
 @query("""WITH r AS (SELECT l_suppkey AS g, strftime(l_shipdate, '%Y-%m') AS d, l_linenumber % 4 AS rank FROM lineitem), i AS (SELECT g, min(d) AS earliest, max(d) AS latest, min(rank) AS best FROM r GROUP BY g),

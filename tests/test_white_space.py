@@ -80,3 +80,25 @@ def test_check_report(spark):
     got = {r.name: (r.level, r.n, r.ok) for r in check_report(df, ["k"], {"odd": F.col("v") == "a"}, {"none": F.col("v").isNull()}, {"rows": F.lit(True)}).collect()}
     assert got == {"odd": ("error", 1, False), "none": ("warning", 1, None), "rows": ("stat", 2, None)}
     assert check_report(df, ["z"], {}).first().name == "missing column z"
+
+
+def test_large_blocks_lose_no_match(spark):
+    """Groups from small blocks and finer ones are those of all pairs."""
+    from gridfold.operators import linkage
+    from gridfold.operators.components import components
+    from gridfold.operators.storage import shared_dir
+
+    rng = np.random.default_rng(11)
+    pick = lambda *xs: xs[int(rng.integers(len(xs)))]
+    rows = [(k, f"{pick(10, 12)} {pick('MAPLE', 'MAPEL', 'GRANT LINE')} {pick('RD', 'ROAD', 'ST')}", pick("A", "B", ""), pick("S1", "S2", ""), pick("00001", "00002", "00003"), pick("", "", "", "", "DWS1", "DWS2")) for k in range(90)]
+    r = linkage.link_records(spark.createDataFrame(rows, "rid long, street string, city string, state string, zip string, code string")).cache()
+    whole = linkage.candidate_pairs(r, largest=1000)
+    finer, left = linkage.large_block_pairs(r, largest=12)
+    assert left.isEmpty() and not linkage.skipped_blocks(r, 12).isEmpty()
+
+    def groups(pairs):
+        matches = linkage.compare(pairs, r).filter("call = 'match'").select("a", "b")
+        return {(x.node, x.component) for x in components(matches, shared_dir(spark, "groups")).collect()}
+
+    both = linkage.candidate_pairs(r, 12).unionByName(finer).distinct()
+    assert groups(both) == groups(whole) and both.count() < whole.count()
