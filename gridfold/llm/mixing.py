@@ -3,7 +3,7 @@
 Documents may belong to several sources. They are first added up by membership pattern (the set of a document's sources),
 so the flow network has a node per pattern and source, not per document: root -> pattern (one arc per copy, each of the
 pattern's size, its cost rising with the copy: convex repetition costs) -> each of the pattern's sources -> sink (the
-source's quota). Successive shortest paths route as many tokens as the quotas ask for at the least repetition. A pattern's
+source's quota). Shortest paths, by rounds of equal cost, route as many tokens as the quotas ask for at the least repetition. A pattern's
 flow then becomes documents: each is taken as often as whole copies of the pattern fit, and the rest goes to the documents
 that come first in a seeded order, the last of them in part, so a source's taken words equal its quota.
 
@@ -17,12 +17,11 @@ routed per group of sources that patterns connect.
 Null text has size 0. A null source is a source of its own and comes last. Documents of size 0 are never taken. Ties of
 the seeded order go to the smaller doc_id, then size, then the text's hash; a row without doc_id has the order of its text.
 Repeated rows count each and share their order's place. Empty tables give no rows. Sources and patterns are collected to the
-driver: at most MOST_PATTERNS rows, of which at most MOST_ROUTED in one connected group, both checked; beyond, this raises.
+driver: at most MOST_PATTERNS rows, which is checked; beyond, this raises.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 
 from gridfold.llm._common import materialise, n_words, shared_dir
 
-COPIES, SEED, MOST_PATTERNS, MOST_ROUTED = 3, 17, 1_000_000, 100_000
+COPIES, SEED, MOST_PATTERNS = 3, 17, 1_000_000
 WEIGHTS = (5.0, 2.0, 1.0)
 
 
@@ -54,56 +53,82 @@ def share_targets(sizes: list[float], weights: list[float], total: float, copies
 def route(patterns: list[tuple[frozenset[int], int]], quotas: list[int], copies: int = COPIES) -> list[int]:
     """Min-cost flow: tokens taken from each (sources, size) pattern, given the sources' quotas.
 
-    Arcs: 0 root, then patterns, sources, sink. Costs of a pattern's copies are 0, 1, 3, 6, ... Potentials keep reduced
-    costs non-negative, so every path is found by Dijkstra's search.
+    Costs lie on the arcs from the root alone, rise with the copy and are the same for all patterns; a path that augments
+    leaves the root once, so its cost is that of the copy it starts with. Shortest paths first therefore means: all paths
+    of first copies, then those of second ones, and so on. Each of these rounds is a maximum flow by layers (Dinic's): as
+    many paths as the layers hold per search.
     """
-    n, m = len(patterns), len(quotas)
-    sink = 1 + n + m
-    to, room, cost, at = [], [], [], defaultdict(list)
-
-    def arc(a: int, b: int, r: int, c: int) -> None:
-        for x, y, z, w in ((a, b, r, c), (b, a, 0, -c)):
-            at[x].append(len(to))
-            to.append(y)
-            room.append(z)
-            cost.append(w)
-
-    for k, (sources, size) in enumerate(patterns):
-        for copy in range(copies):
-            arc(0, 1 + k, size, copy * (copy + 1) // 2)
-        for s in sorted(sources):
-            arc(1 + k, 1 + n + s, copies * size, 0)
-    for s, q in enumerate(quotas):
-        arc(1 + n + s, sink, q, 0)
-    height = [0] * (sink + 1)
-    while True:
-        best, via = {0: 0}, {}
-        heap = [(0, 0)]
-        while heap:
-            d, x = heapq.heappop(heap)
-            if d > best[x]:
-                continue
-            for e in at[x]:
-                if room[e] > 0 and (new := d + cost[e] + height[x] - height[to[e]]) < best.get(to[e], 1 << 62):
-                    best[to[e]], via[to[e]] = new, e
-                    heapq.heappush(heap, (new, to[e]))
-        if sink not in best:
-            break
-        far = best[sink]
-        for x in range(sink + 1):
-            height[x] += min(best.get(x, far), far)
-        path, x = [], sink
-        while x:
-            path.append(via[x])
-            x = to[via[x] ^ 1]
-        push = min(room[e] for e in path)
-        for e in path:
-            room[e] -= push
-            room[e ^ 1] += push
-    taken = [0] * n
-    for e in at[0]:
-        taken[to[e] - 1] += room[e ^ 1]
-    return taken
+    own = [sorted(sources) for sources, _ in patterns]
+    sent: list[dict[int, int]] = [{} for _ in patterns]  # pattern -> source -> tokens
+    holders: list[set[int]] = [set() for _ in quotas]  # source -> patterns that send to it
+    left, spare = list(quotas), [0] * len(patterns)
+
+    def layers() -> tuple[dict[int, int], dict[int, int]] | None:
+        """Distances of patterns and sources from the patterns with room, up to the first source with quota left; None without any."""
+        front = [k for k, n in enumerate(spare) if n > 0]
+        of_pattern, of_source, d = dict.fromkeys(front, 0), {}, 0
+        while front:
+            reached = []
+            for k in front:
+                for s in own[k]:
+                    if s not in of_source:
+                        of_source[s] = d + 1
+                        reached.append(s)
+            if any(left[s] > 0 for s in reached):
+                return of_pattern, of_source
+            d, front = d + 2, []
+            for s in reached:
+                for k in sorted(holders[s]):
+                    if k not in of_pattern:
+                        of_pattern[k] = d
+                        front.append(k)
+        return None
+
+    def push(path: list[int]) -> None:
+        """Sends as much as a path of pattern, source, pattern, source ... lets through."""
+        back = [(path[i + 1], path[i]) for i in range(1, len(path) - 1, 2)]
+        n = min([spare[path[0]], left[path[-1]], *[sent[k][s] for k, s in back]])
+        spare[path[0]] -= n
+        left[path[-1]] -= n
+        for i in range(0, len(path), 2):
+            k, s = path[i], path[i + 1]
+            sent[k][s] = sent[k].get(s, 0) + n
+            holders[s].add(k)
+        for k, s in back:
+            sent[k][s] -= n
+            if not sent[k][s]:
+                holders[s].discard(k)
+
+    for _ in range(copies):
+        for k, (_, size) in enumerate(patterns):
+            spare[k] += size
+        while found := layers():
+            of_pattern, of_source = found
+            at_pattern, at_source, giving = defaultdict(int), defaultdict(int), {}
+            for start in [k for k, n in enumerate(spare) if n > 0]:
+                path = [start]
+                while path and spare[start] > 0:
+                    x = path[-1]
+                    if len(path) % 2:
+                        arcs, at, ok = own[x], at_pattern, lambda s, x=x: of_source.get(s) == of_pattern[x] + 1
+                    elif left[x] > 0:
+                        push(path)
+                        path = [start]
+                        continue
+                    else:
+                        if x not in giving:
+                            giving[x] = sorted(holders[x])
+                        arcs, at = giving[x], at_source
+                        ok = lambda k, x=x: of_pattern.get(k) == of_source[x] + 1 and sent[k].get(x, 0) > 0
+                    while at[x] < len(arcs) and not ok(arcs[at[x]]):
+                        at[x] += 1
+                    if at[x] < len(arcs):
+                        path.append(arcs[at[x]])
+                    else:  # a dead end: the arc that led here is done
+                        path.pop()
+                        if path:
+                            (at_pattern if len(path) % 2 else at_source)[path[-1]] += 1
+    return [sum(by.values()) for by in sent]
 
 
 def shared_out(patterns: list[tuple[frozenset[int], int]], quotas: list[int], copies: int = COPIES) -> list[int]:
@@ -132,8 +157,6 @@ def shared_out(patterns: list[tuple[frozenset[int], int]], quotas: list[int], co
             (s,), size = patterns[own[0]]
             taken[own[0]] = min(quotas[s], copies * size)
             continue
-        if len(own) > MOST_ROUTED:
-            raise ValueError(f"more than {MOST_ROUTED} membership patterns in one connected group of sources")
         sources = sorted({s for k in own for s in patterns[k][0]})
         number = {s: k for k, s in enumerate(sources)}
         for k, n in zip(own, route([(frozenset(number[s] for s in patterns[k][0]), patterns[k][1]) for k in own], [quotas[s] for s in sources], copies), strict=True):

@@ -792,3 +792,61 @@ def test_substring_dedup_periodic_texts(spark):
         assert got[k] == (len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone))
     assert any(n for _, n, _ in got.values())
     assert runs() == before
+
+
+def _cheapest(patterns, quotas, copies=3):
+    """Most tokens at the least cost by Bellman-Ford paths, unit by unit of residual network: tokens, cost."""
+    n, m = len(patterns), len(quotas)
+    arcs = []  # from, to, room, cost; an arc and its reverse are neighbours
+
+    def arc(a, b, room, cost):
+        arcs.extend([[a, b, room, cost], [b, a, 0, -cost]])
+
+    for k, (sources, size) in enumerate(patterns):
+        for c in range(copies):
+            arc(0, 1 + k, size, c * (c + 1) // 2)
+        for s in sources:
+            arc(1 + k, 1 + n + s, copies * size, 0)
+    for s, q in enumerate(quotas):
+        arc(1 + n + s, 1 + n + m, q, 0)
+    total = cost = 0
+    while True:
+        best, via = {0: 0}, {}
+        for _ in range(n + m + 2):
+            for e, (a, b, room, c) in enumerate(arcs):
+                if room and a in best and best[a] + c < best.get(b, 1 << 40):
+                    best[b], via[b] = best[a] + c, e
+        if 1 + n + m not in best:
+            return total, cost
+        path, x = [], 1 + n + m
+        while x:
+            path.append(via[x])
+            x = arcs[via[x]][0]
+        push = min(arcs[e][2] for e in path)
+        for e in path:
+            arcs[e][2] -= push
+            arcs[e ^ 1][2] += push
+        total, cost = total + push, cost + push * best[1 + n + m]
+
+
+def test_mixing_route_against_bellman_ford():
+    rng = np.random.default_rng(15)
+    for _ in range(60):
+        m = int(rng.integers(1, 5))
+        patterns = [(frozenset(int(s) for s in rng.choice(m, int(rng.integers(1, m + 1)), replace=False)), int(rng.integers(0, 15))) for _ in range(int(rng.integers(1, 8)))]
+        quotas = [int(q) for q in rng.integers(0, 50, m)]
+        taken = mixing.route(patterns, quotas)
+        cost = sum(sum(min(size, max(0, t - c * size)) * (c * (c + 1) // 2) for c in range(3)) for (_, size), t in zip(patterns, taken, strict=True))
+        assert all(0 <= t <= 3 * size for (_, size), t in zip(patterns, taken, strict=True))
+        assert (sum(taken), cost) == _cheapest(patterns, quotas)
+
+
+def test_mixing_routes_many_connected_patterns():
+    """More than 100,000 patterns in one connected group: quotas are met exactly."""
+    rng = np.random.default_rng(16)
+    sets = [frozenset(int(s) for s in rng.integers(0, 30, int(k))) for k in rng.integers(1, 5, 120_000)]
+    patterns = [(s, int(n)) for s, n in zip(sets, rng.integers(1, 500, len(sets)), strict=True)]
+    total = sum(n for _, n in patterns)
+    quotas = [total * (5, 2, 1)[k % 3] // 80 for k in range(30)]
+    taken = mixing.route(patterns, quotas)
+    assert sum(taken) == sum(quotas) and all(0 <= t <= 3 * n for (_, n), t in zip(patterns, taken, strict=True))
