@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridfold.operators import choice
 
 
-def split(df: DataFrame, unit: str, shares: dict[str, float], seed: int = 0) -> DataFrame:
-    """Adds split: whole units go to one part, by a seeded hash of the unit; shares add up to one.
+def split(df: DataFrame, unit: str, shares: dict[str, float], seed: int = 0, u: Column | None = None) -> DataFrame:
+    """Adds split: whole units go to one part, by a seeded hash of the unit (or u, a uniform number that depends on the unit alone); shares add up to one.
 
     The hash is the same in every partitioning and needs no list of units on the driver, so shares hold in expectation.
     """
-    u = (F.shiftrightunsigned(F.xxhash64(F.col(unit), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+    u = u if u is not None else (F.shiftrightunsigned(F.xxhash64(F.col(unit), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     names, edge, out = list(shares), 0.0, F.lit(list(shares)[-1])
     edges = np.cumsum([shares[n] for n in names])
     if abs(edges[-1] - 1) > 1e-9:
@@ -24,6 +24,17 @@ def split(df: DataFrame, unit: str, shares: dict[str, float], seed: int = 0) ->
     return df.withColumn("split", out)
 
 
+def split_by_time(df: DataFrame, time: str, cutoff) -> DataFrame:
+    """Adds split: train up to the cutoff, test after it; rows without a time are in neither (null)."""
+    return df.withColumn("split", F.when(F.col(time) <= cutoff, "train").when(F.col(time) > cutoff, "test"))
+
+
+def split_report(df: DataFrame, unit: str, event: str) -> DataFrame:
+    """Per part its rows, units and events, and whether it has none: then its AUC is undefined and a conformal quantile one-sided."""
+    happened = F.coalesce(F.col(event).cast("boolean"), F.lit(False))
+    return df.groupBy("split").agg(F.count("*").alias("rows"), F.count_distinct(unit).alias("units"), F.count_if(happened).alias("events"), (~F.bool_or(happened)).alias("eventless"))
+
+
 def split_exact(df: DataFrame, unit: str, shares: dict[str, float], seed: int = 0) -> DataFrame:
     """As split, with exact counts: units in a seeded order, cut at their shares. The order is one small table of units."""
     units = df.select(unit).distinct()

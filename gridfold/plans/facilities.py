@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridfold.functions import columns as C
-from gridfold.operators import facilities, linkage, metrics
+from gridfold.operators import facilities, linkage, metrics, resample
 from gridfold.plans.panel import YEARS, _years, dense, dim_quarter_of, optional_block
 from gridfold.plans.proximity import CENTROIDS, centroids
 from gridfold.plans.registry import query
@@ -195,6 +195,18 @@ def risk_collapse(spark, sf_dir):
     return _risk(spark, sf_dir).groupBy("user_id", F.floor(F.col("t") / 7).alias("week")).agg(F.bool_or("event").alias("event"), F.count("*").alias("periods"), F.round(F.sum("load"), 4).alias("load"))
 
 
+@query(f"""WITH {_RISK}, u AS (SELECT *, ('0x' || substr(md5(user_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM risk),
+  s AS (SELECT 'unit' AS arm, CASE WHEN u < 0.6 THEN 'train' WHEN u < 0.8 THEN 'calibration' ELSE 'test' END AS split, user_id, event FROM u UNION ALL SELECT 'time', CASE WHEN t <= 2 THEN 'train' ELSE 'test' END, user_id, event FROM risk)
+  SELECT arm, split, count(*) AS "rows", count(DISTINCT user_id) AS units, count(*) FILTER (WHERE event) AS events, NOT bool_or(event) AS eventless FROM s GROUP BY ALL""")
+def split_reports(spark, sf_dir):
+    """Whole units in three parts, and everything up to a time against what follows; parts without events are named."""
+    risk = _risk(spark, sf_dir)
+    u = F.conv(F.substring(F.md5(F.col("user_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    by_unit = resample.split_report(resample.split(risk, "user_id", {"train": 0.6, "calibration": 0.2, "test": 0.2}, u=u), "user_id", "event")
+    by_time = resample.split_report(resample.split_by_time(risk, "t", 2), "user_id", "event")
+    return by_unit.withColumn("arm", F.lit("unit")).unionByName(by_time.withColumn("arm", F.lit("time")))
+
+
 @query(f"WITH {_RISK}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) AS rk FROM risk) SELECT user_id % 5 AS \"group\", count(*) AS units, round(avg(load), 6) AS entry_load, round(avg(t), 6) AS entry_t FROM r WHERE rk = 1 GROUP BY user_id % 5")
 def entry_row_means(spark, sf_dir):
     """Means over each unit's first row."""

@@ -102,3 +102,13 @@ def test_large_blocks_lose_no_match(spark):
 
     both = linkage.candidate_pairs(r, 12).unionByName(finer).distinct()
     assert groups(both) == groups(whole) and both.count() < whole.count()
+
+
+def test_splits_and_their_report(spark):
+    from gridfold.operators import resample
+
+    df = spark.createDataFrame([(u, t, u == 3 and t == 9) for u in range(40) for t in (1, 9)] + [(77, None, None)], "unit long, t long, event boolean")
+    by_time = {r.split: (r.rows, r.units, r.events, r.eventless) for r in resample.split_report(resample.split_by_time(df, "t", 5), "unit", "event").collect()}
+    assert by_time == {"train": (40, 40, 0, True), "test": (40, 40, 1, False), None: (1, 1, 0, True)}
+    parts = resample.split(df, "unit", {"a": 0.5, "b": 0.5}, u=F.col("unit") / 80)
+    assert {r.split: r.units for r in resample.split_report(parts, "unit", "event").collect()} == {"a": 40, "b": 1}
