@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 HEADLINE = (
     "dense_panel", "place_panel", "fact_nation_year", "pivot_conditional", "vintage_asof", "prior_in_group", "place_collapse", "radius_pairs", "nearest_site", "neighbour_sum", "catchment_enabled",
-    "gravity_terms", "cost_to_serve", "cost_scenarios", "station_rollup", "cheapest_decile", "choice_topk", "conformal_sets", "auc", "calibration", "full_outer_presence", "glm_poisson", "p_median", "monte_carlo_bands", "portfolio_select", "choice_fit", "hazard_cloglog", "facility_load", "facility_merge", "household_demand",
+    "gravity_terms", "cost_to_serve", "cost_scenarios", "station_rollup", "cheapest_decile", "choice_topk", "conformal_sets", "auc", "calibration", "full_outer_presence", "glm_poisson", "p_median", "monte_carlo_bands", "portfolio_select", "portfolio_frontier", "white_space_race", "choice_fit", "hazard_cloglog", "facility_load", "facility_merge", "household_demand",
 )
 
 
