@@ -7,7 +7,7 @@ Likelihood, gradient and Hessian are sums over decisions, computed in one aggreg
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -46,6 +46,105 @@ def evaluate(choices: DataFrame, decision: str, alternative: str, chosen: str, k
     return r.agg(F.avg(F.pow(F.col("p") - y, F.lit(2.0))).alias("brier"), F.avg(F.pow(1 / n - y, F.lit(2.0))).alias("brier_uniform"), F.avg(F.when(F.col(chosen), F.col("p"))).alias("mean_p"), *hits, *chance)
 
 
+@dataclass(frozen=True)
+class Listed:
+    """Decisions with their alternatives listed: a row per decision and alternative. rows may have p."""
+
+    rows: DataFrame
+    decision: str
+    alternative: str
+    chosen: str
+
+    @property
+    def group(self) -> str:
+        """What p adds up to one within."""
+        return self.decision
+
+    def per_decision(self, columns: list[str], keep: list[str] = ()) -> DataFrame:
+        return per_decision(self.rows, self.decision, self.chosen, columns, keep)
+
+    def ranks(self) -> DataFrame:
+        """The chosen rows with rank, cumulative and alternatives."""
+        return ranked(self.rows, self.decision, self.alternative).filter(self.chosen)
+
+    def choices(self) -> DataFrame:
+        return self.rows.filter(self.chosen)
+
+    def evaluate(self, ks=(1, 5, 10)) -> DataFrame:
+        return evaluate(self.rows, self.decision, self.alternative, self.chosen, ks)
+
+    def decided(self, keep) -> Listed:
+        """Only the decisions that keep (a function of a table with their ids) leaves."""
+        return replace(self, rows=keep(self.rows))
+
+    def examples(self, columns: list[str]) -> DataFrame:
+        """The columns, y (1 for the choice) and how many rows of them there are, w."""
+        return self.rows.select(*columns, F.col(self.chosen).cast("double").alias("y"), F.lit(1.0).alias("w"))
+
+
+@dataclass(frozen=True)
+class Shared:
+    """Decisions that share their alternatives: all decisions of a market choose among its rows, which are kept once.
+
+    decisions: a row each, with its market and the alternative that it chose; rows: a row per market and alternative, which may
+    have p. Probabilities, ranks and sums of a market hold for each of its decisions, so nothing has a row per decision and
+    alternative: a market of n decisions and n alternatives costs n log n, not n * n. A decision whose choice is not among
+    its market's rows has no p and no rank, and cannot be fitted.
+    """
+
+    decisions: DataFrame
+    rows: DataFrame
+    decision: str
+    market: str
+    alternative: str
+
+    @property
+    def group(self) -> str:
+        return self.market
+
+    def per_decision(self, columns: list[str], keep: list[str] = ()) -> DataFrame:
+        sums = self.rows.groupBy(self.market).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s_{k}") for k, c in enumerate(columns)])
+        picks = self.rows.select(self.market, self.alternative, *[F.col(c).alias(f"c_{k}") for k, c in enumerate(columns)])
+        made = self.decisions.join(picks, [self.market, self.alternative], "left").join(sums, self.market, "left")
+        return made.select(self.decision, *keep, "n", *[f"{x}_{k}" for x in "sc" for k in range(len(columns))])
+
+    def ranks(self) -> DataFrame:
+        return self.decisions.join(ranked(self.rows, self.market, self.alternative), [self.market, self.alternative])
+
+    def choices(self) -> DataFrame:
+        return self.decisions.join(self.rows, [self.market, self.alternative])
+
+    def evaluate(self, ks=(1, 5, 10)) -> DataFrame:
+        """As the function of that name: of a decision's squared errors all but its choice's are its market's sum of p * p."""
+        whole = Window.partitionBy(self.market)
+        r = ranked(self.rows, self.market, self.alternative).withColumns({"_squares": F.sum(F.col("p") * F.col("p")).over(whole), "_scored": F.count("p").over(whole)})
+        made = self.decisions.join(r, [self.market, self.alternative])
+        n, p = F.col("alternatives"), F.col("p")
+        errors = F.coalesce("_squares", F.lit(0.0)) + F.coalesce(1 - 2 * p, F.lit(0.0))
+        hits = [F.avg((F.col("rank") <= k).cast("double")).alias(f"top{k}") for k in ks]
+        chance = [F.avg(F.least(F.lit(1.0), k / n)).alias(f"chance{k}") for k in ks]
+        return made.agg(F.try_divide(F.sum(errors), F.sum("_scored")).alias("brier"), F.try_divide(F.sum(1 - 1 / n), F.sum(n)).alias("brier_uniform"), F.avg(p).alias("mean_p"), *hits, *chance)
+
+    def decided(self, keep) -> Shared:
+        return replace(self, decisions=keep(self.decisions))
+
+    def examples(self, columns: list[str]) -> DataFrame:
+        made = self.decisions.groupBy(self.market).agg(F.count("*").alias("_made"))
+        picked = self.decisions.groupBy(self.market, self.alternative).agg(F.count("*").alias("_picked"))
+        rows = self.rows.join(made, self.market).join(picked, [self.market, self.alternative], "left").withColumn("_picked", F.coalesce("_picked", F.lit(0)))
+        of = lambda y, n: F.struct(F.lit(y).alias("y"), n.cast("double").alias("w"))
+        both = F.array(of(1.0, F.col("_picked")), of(0.0, F.col("_made") - F.col("_picked")))
+        return rows.withColumn("_e", F.explode(both)).select(*columns, "_e.y", "_e.w").filter("w > 0")
+
+
+Choices = Listed | Shared
+
+
+def scored(choices: Choices, columns: list[str], beta: list[float]) -> Choices:
+    """With p on its rows."""
+    return replace(choices, rows=probabilities(choices.rows, choices.group, columns, beta))
+
+
 @dataclass(frozen=True)
 class ChoiceFit:
     columns: tuple[str, ...]
@@ -117,7 +216,12 @@ def _scores(decisions: DataFrame, beta: np.ndarray, cluster: str | None) -> np.n
 
 def fit(alternatives: DataFrame, decision: str, chosen: str, columns: list[str], *, cluster: str | None = None, starts=(0.0, -2.0, 2.0), steps: int = 60) -> ChoiceFit:
     """Maximum likelihood by Newton steps with line search in theta, from several starts; sandwich covariance inside the boundary."""
-    decisions = per_decision(alternatives, decision, chosen, columns, [cluster] if cluster else []).cache()
+    return fit_decisions(per_decision(alternatives, decision, chosen, columns, [cluster] if cluster else []), columns, cluster=cluster, starts=starts, steps=steps)
+
+
+def fit_decisions(decisions: DataFrame, columns: list[str], *, cluster: str | None = None, starts=(0.0, -2.0, 2.0), steps: int = 60) -> ChoiceFit:
+    """The same from per_decision's rows."""
+    decisions = decisions.cache()
     if not decisions.filter(" OR ".join(f"c_{i} IS NULL" for i in range(len(columns)))).isEmpty():
         raise ValueError("a decision has no chosen alternative, or a missing attraction")
     if not decisions.filter("s_0 <= 0 OR c_0 <= 0").isEmpty():
