@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,6 +107,16 @@ def merge_zones(alternatives: DataFrame, decision: str, alt: str, chosen: str, c
     return alternatives.withColumn(alt, pair).groupBy(decision, alt).agg(F.bool_or(chosen).alias(chosen), *[F.sum(c).alias(c) for c in columns])
 
 
+def merge_shared_zones(choices: choice.Shared, columns: list[str]) -> choice.Shared:
+    """The same where decisions share their alternatives: a market's are merged once."""
+    market, alt = choices.market, choices.alternative
+    pair = F.floor((F.row_number().over(Window.partitionBy(market).orderBy(alt)) - 1) / 2)
+    paired = choices.rows.withColumn("_pair", pair)
+    rows = paired.groupBy(market, F.col("_pair").alias(alt)).agg(*[F.sum(c).alias(c) for c in columns])
+    decisions = choices.decisions.join(paired.select(market, alt, "_pair"), [market, alt]).withColumn(alt, F.col("_pair")).drop("_pair")
+    return replace(choices, decisions=decisions, rows=rows)
+
+
 def ablation(alternatives: DataFrame, decision: str, alt: str, chosen: str, base: list[str], extra: str, repeats: int = 3) -> DataFrame:
     """With and without a covariate on the same splits: what it is worth, and what would be lost if it leaked."""
     both = resplits(alternatives, decision, alt, chosen, {"without": base, "with": [*base, extra]}, repeats)
