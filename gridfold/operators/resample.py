@@ -49,6 +49,12 @@ def split_exact(df: DataFrame, unit: str, shares: dict[str, float], seed: int =
     return df.join(order.withColumn("split", out).drop("_k"), unit)
 
 
+def split_choices(choices: choice.Choices, shares: dict[str, float], seed: int = 0) -> dict[str, choice.Choices]:
+    """The parts of the decisions, by name; all alternatives of a decision go with it."""
+    part = lambda name: choices.decided(lambda rows: split(rows, choices.decision, shares, seed).filter(F.col("split") == name).drop("split"))
+    return {name: part(name) for name in shares}
+
+
 def resplits(alternatives: DataFrame, decision: str, alt: str, chosen: str, arms: dict[str, list[str]], repeats: int = 5, train: float = 0.6) -> DataFrame:
     """Every arm fitted and scored on the same seeded splits: repeat, arm, brier, mean_p, top-k rates (spreads of these are not standard errors)."""
     out = []
@@ -63,15 +69,13 @@ def resplits(alternatives: DataFrame, decision: str, alt: str, chosen: str, arms
     return alternatives.sparkSession.createDataFrame(out, "repeat int, arm string, brier double, mean_p double, top1 double, top5 double, top10 double")
 
 
-def forward_selection(alternatives: DataFrame, decision: str, alt: str, chosen: str, base: list[str], candidates: list[str], seed: int = 0) -> list[tuple[str, float]]:
+def forward_selection(choices: choice.Choices, base: list[str], candidates: list[str], seed: int = 0) -> list[tuple[str, float]]:
     """Adds the column that most improves the log likelihood of held-out decisions, as long as one does; what was added, in order."""
-    parts = split(alternatives, decision, {"train": 0.7, "test": 0.3}, seed).cache()
-    train, test = parts.filter("split = 'train'"), parts.filter("split = 'test'")
+    parts = split_choices(choices, {"train": 0.7, "test": 0.3}, seed)
 
     def held_out(columns: list[str]) -> float:
-        f = choice.fit(train, decision, chosen, columns, starts=(0.0,))
-        p = choice.probabilities(test, decision, columns, f.beta.tolist()).filter(chosen)
-        return p.agg(F.avg(F.log("p"))).first()[0]
+        f = choice.fit_decisions(parts["train"].per_decision(columns), columns, starts=(0.0,))
+        return choice.scored(parts["test"], columns, f.beta.tolist()).choices().agg(F.avg(F.log("p"))).first()[0]
 
     have, added, best = list(base), [], held_out(base)
     while rest := [c for c in candidates if c not in have]:
@@ -82,7 +86,6 @@ def forward_selection(alternatives: DataFrame, decision: str, alt: str, chosen:
         best = scores[top]
         have.append(top)
         added.append((top, best))
-    parts.unpersist()
     return added
 
 
