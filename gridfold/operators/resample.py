@@ -55,18 +55,16 @@ def split_choices(choices: choice.Choices, shares: dict[str, float], seed: int =
     return {name: part(name) for name in shares}
 
 
-def resplits(alternatives: DataFrame, decision: str, alt: str, chosen: str, arms: dict[str, list[str]], repeats: int = 5, train: float = 0.6) -> DataFrame:
+def resplits(choices: choice.Choices, arms: dict[str, list[str]], repeats: int = 5, train: float = 0.6) -> DataFrame:
     """Every arm fitted and scored on the same seeded splits: repeat, arm, brier, mean_p, top-k rates (spreads of these are not standard errors)."""
     out = []
     for r in range(repeats):
-        parts = split(alternatives, decision, {"train": train, "test": 1 - train}, seed=r).cache()
+        parts = split_choices(choices, {"train": train, "test": 1 - train}, seed=r)
         for arm, columns in arms.items():
-            f = choice.fit(parts.filter("split = 'train'"), decision, chosen, columns, starts=(0.0,))
-            p = choice.probabilities(parts.filter("split = 'test'"), decision, columns, f.beta.tolist())
-            row = choice.evaluate(p, decision, alt, chosen).first()
+            f = choice.fit_decisions(parts["train"].per_decision(columns), columns, starts=(0.0,))
+            row = choice.scored(parts["test"], columns, f.beta.tolist()).evaluate().first()
             out.append((r, arm, row.brier, row.mean_p, row.top1, row.top5, row.top10))
-        parts.unpersist()
-    return alternatives.sparkSession.createDataFrame(out, "repeat int, arm string, brier double, mean_p double, top1 double, top5 double, top10 double")
+    return choices.rows.sparkSession.createDataFrame(out, "repeat int, arm string, brier double, mean_p double, top1 double, top5 double, top10 double")
 
 
 def forward_selection(choices: choice.Choices, base: list[str], candidates: list[str], seed: int = 0) -> list[tuple[str, float]]:
@@ -120,9 +118,9 @@ def merge_shared_zones(choices: choice.Shared, columns: list[str]) -> choice.Sha
     return replace(choices, decisions=decisions, rows=rows)
 
 
-def ablation(alternatives: DataFrame, decision: str, alt: str, chosen: str, base: list[str], extra: str, repeats: int = 3) -> DataFrame:
+def ablation(choices: choice.Choices, base: list[str], extra: str, repeats: int = 3) -> DataFrame:
     """With and without a covariate on the same splits: what it is worth, and what would be lost if it leaked."""
-    both = resplits(alternatives, decision, alt, chosen, {"without": base, "with": [*base, extra]}, repeats)
+    both = resplits(choices, {"without": base, "with": [*base, extra]}, repeats)
     wide = both.groupBy("repeat").pivot("arm", ["with", "without"]).agg(F.first("mean_p"))
     return wide.select("repeat", F.col("with").alias("with_covariate"), F.col("without").alias("without_covariate"), (F.col("with") - F.col("without")).alias("worth"))
 
