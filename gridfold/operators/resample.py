@@ -125,25 +125,32 @@ def ablation(choices: choice.Choices, base: list[str], extra: str, repeats: int
     return wide.select("repeat", F.col("with").alias("with_covariate"), F.col("without").alias("without_covariate"), (F.col("with") - F.col("without")).alias("worth"))
 
 
-def boosted_benchmark(alternatives: DataFrame, decision: str, alt: str, chosen: str, columns: list[str], seed: int = 0) -> DataFrame:
-    """Gradient-boosted trees per alternative, then a softmax of their margins per decision at the temperature that fits best: a pointwise stand-in for a ranking loss."""
+def boosted_benchmark(choices: choice.Choices, columns: list[str], seed: int = 0) -> DataFrame:
+    """Gradient-boosted trees per alternative, then a softmax of their margins per decision at the temperature that fits best: a pointwise stand-in for a ranking loss.
+
+    Where decisions share their alternatives, an alternative is one row per label with its number of decisions as weight.
+    """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    rows = VectorAssembler(inputCols=columns, outputCol="_x").transform(alternatives.withColumn("_y", F.col(chosen).cast("double")))
-    parts = split(rows, decision, {"train": 0.6, "test": 0.4}, seed)
-    model = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=10, maxDepth=3, seed=seed).fit(parts.filter("split = 'train'"))
-    scored = model.transform(parts).withColumn("_m", vector_to_array("rawPrediction")[1]).select(decision, alt, chosen, "split", "_m").cache()
-    top = Window.partitionBy(decision)
+    vectors = VectorAssembler(inputCols=columns, outputCol="_x")
+    parts = split_choices(choices, {"train": 0.6, "test": 0.4}, seed)
+    model = GBTClassifier(featuresCol="_x", labelCol="y", weightCol="w", maxIter=10, maxDepth=3, seed=seed).fit(vectors.transform(parts["train"].examples(columns)))
+    top = Window.partitionBy(choices.group)
+
+    def margins(part: choice.Choices) -> choice.Choices:
+        rows = model.transform(vectors.transform(part.rows)).withColumn("_m", vector_to_array("rawPrediction")[1])
+        return replace(part, rows=rows.select(*part.rows.columns, "_m").cache())
 
-    def at(t: float) -> DataFrame:
-        e = scored.withColumn("_e", F.exp((F.col("_m") - F.max("_m").over(top)) / t))
-        return e.withColumn("p", F.col("_e") / F.sum("_e").over(top)).drop("_e")
+    def at(part: choice.Choices, t: float) -> choice.Choices:
+        e = part.rows.withColumn("_e", F.exp((F.col("_m") - F.max("_m").over(top)) / t))
+        return replace(part, rows=e.withColumn("p", F.col("_e") / F.sum("_e").over(top)).drop("_e"))
 
-    loss = {t: at(t).filter(f"{chosen} AND split = 'train'").agg(F.avg(-F.log("p"))).first()[0] for t in (0.1, 0.3, 1.0, 3.0, 10.0)}
+    train = margins(parts["train"])
+    loss = {t: at(train, t).choices().agg(F.avg(-F.log("p"))).first()[0] for t in (0.1, 0.3, 1.0, 3.0, 10.0)}
     best = min(loss, key=loss.get)
-    return choice.evaluate(at(best).filter("split = 'test'"), decision, alt, chosen).withColumn("temperature", F.lit(best))
+    return at(margins(parts["test"]), best).evaluate().withColumn("temperature", F.lit(best))
 
 
 def stop_rule(draws: list[float], q: float, tolerance: float) -> bool:
