@@ -104,7 +104,7 @@ def depot_network(places: DataFrame, area: str, *, parcels: str = "parcels", per
 class _Exposure:
     """A portfolio with each site's exposure to the chosen ones, kept up to date as sites come and go. A site is worth fixed + value * exp(-exposure)."""
 
-    def __init__(self, value: np.ndarray, overlap: list[tuple[np.ndarray, np.ndarray]], fixed: np.ndarray | None = None):
+    def __init__(self, value: np.ndarray, overlap, fixed: np.ndarray | None = None):
         self.value, self.overlap, self.exposure, self.chosen = value, overlap, np.zeros(len(value)), np.zeros(len(value), bool)
         self.fixed = np.zeros(len(value)) if fixed is None else fixed
 
@@ -116,66 +116,70 @@ class _Exposure:
     def total(self) -> float:
         return float((self.fixed + self.value * np.exp(-self.exposure))[self.chosen].sum())
 
-    def gain(self, j: int) -> float:
-        """What adding j adds: its own value less what its chosen neighbours lose."""
-        near, by = self.overlap[j]
-        lost = np.where(self.chosen[near], self.value[near] * np.exp(-self.exposure[near]) * (1 - np.exp(-by)), 0.0)
-        return float(self.fixed[j] + self.value[j] * np.exp(-self.exposure[j]) - lost.sum())
+    def gains(self) -> np.ndarray:
+        """What adding each site adds: its own value less what its chosen neighbours lose. From the lists of the chosen sites alone."""
+        out = self.fixed + self.value * np.exp(-self.exposure)
+        for k in np.flatnonzero(self.chosen).tolist():
+            near, by = self.overlap[k]
+            out[near] -= self.value[k] * np.exp(-self.exposure[k]) * (1 - np.exp(-by))
+        return out
+
 
-    def touched(self, j: int) -> np.ndarray:
-        """Sites whose gain j's coming or going may change: its neighbours and those of its chosen neighbours."""
-        near = self.overlap[j][0]
-        return np.unique(np.concatenate([[j], near, *[self.overlap[k][0] for k in near[self.chosen[near]]]]).astype(np.int64))
+class Within:
+    """Each site's neighbours at most so many miles away, with what the distance makes of it; worked out when asked for, the last ones kept.
+
+    Takes the place of a list of all sites' neighbours, which grows with the square of their density.
+    """
 
+    def __init__(self, lat: np.ndarray, lon: np.ndarray, miles: float, by, radius: float = RADIUS, kept: int = 1000):
+        self.lat, self.lon, self.miles, self.by, self.radius, self.kept, self.lists = lat, lon, miles, by, radius, kept, {}
 
-def portfolio(value: np.ndarray, cost: np.ndarray, overlap: list[tuple[np.ndarray, np.ndarray]], budget: float, swaps: int | None = None, fixed: np.ndarray | None = None) -> tuple[list[int], float]:
+    def __getitem__(self, j: int) -> tuple[np.ndarray, np.ndarray]:
+        if j not in self.lists:
+            if len(self.lists) >= self.kept:
+                del self.lists[next(iter(self.lists))]
+            away = miles_matrix(self.lat, self.lon, self.lat[j : j + 1], self.lon[j : j + 1])[:, 0] * (self.radius / RADIUS)
+            near = np.flatnonzero(away <= self.miles)
+            near = near[near != j]
+            self.lists[j] = near, self.by(away[near])
+        return self.lists[j]
+
+
+def portfolio(value: np.ndarray, cost: np.ndarray, overlap, budget: float, swaps: int | None = None, fixed: np.ndarray | None = None) -> tuple[list[int], float]:
     """Sites of most total value within a budget: each site's value shrinks by exp(-exposure) to the chosen ones; its fixed part (if given) doesn't.
 
-    overlap: each site's neighbours (without itself) and how far they expose it. Greedy by gain per cost, then the best swap
-    as long as one helps (at most so many). After a change only the gains around it are worked out anew.
+    overlap: each site's neighbours (without itself) and how far they expose each other, a list or Within. Greedy by gain per
+    cost, then the best swap as long as one helps (at most so many). Only the lists of sites that are or were chosen are read.
     """
-    state, n = _Exposure(value, overlap, fixed), len(value)
-    gains = state.fixed + value.astype(float)
+    state = _Exposure(value, overlap, fixed)
     left = budget
-
-    def update(j: int, into: np.ndarray) -> None:
-        for k in state.touched(j):
-            into[k] = state.gain(int(k))
-
     while True:
+        gains = state.gains()
         rate = np.where(~state.chosen & (cost <= left) & (gains > 1e-12), gains / cost, -np.inf)
         j = int(rate.argmax())
         if rate[j] == -np.inf:
             break
-        around = state.touched(j)
         state.change(j, 1)
         left -= cost[j]
-        for k in np.union1d(around, state.touched(j)):
-            gains[k] = state.gain(int(k))
     step = 0
     while swaps is None or step < swaps:
         step += 1
         best, most = None, 1e-9
         for i in np.flatnonzero(state.chosen).tolist():
             state.change(i, -1)
-            own, loss = gains.copy(), state.gain(i)
-            update(i, own)
+            gains = state.gains()
             ok = ~state.chosen & (cost <= left + cost[i])
             ok[i] = False
-            more = np.where(ok, own - loss, -np.inf)
+            more = np.where(ok, gains - gains[i], -np.inf)
             j = int(more.argmax())
             if more[j] > most:
                 best, most = (i, j), float(more[j])
             state.change(i, 1)
         if best is None:
             break
-        i, j = best
-        for site, sign in ((i, -1), (j, 1)):
-            around = state.touched(site)
+        for site, sign in zip(best, (-1, 1), strict=True):
             state.change(site, sign)
             left -= sign * cost[site]
-            for k in np.union1d(around, state.touched(site)):
-                gains[k] = state.gain(int(k))
     return np.flatnonzero(state.chosen).tolist(), state.total()
 
 
@@ -207,7 +211,7 @@ class Activation:
         return sum((1 + self.rate) ** -t for t in range(1, self.years + 1))
 
 
-def activation_value(parcels: np.ndarray, cost: np.ndarray, linehaul: np.ndarray, overlap: list[tuple[np.ndarray, np.ndarray]], chosen: list[int], terms: Activation) -> dict[str, float]:
+def activation_value(parcels: np.ndarray, cost: np.ndarray, linehaul: np.ndarray, overlap, chosen: list[int], terms: Activation) -> dict[str, float]:
     """A portfolio's yearly parcels and cost, capital, present values and the margin per parcel at which it breaks even (infinite when empty)."""
     state = _Exposure(np.zeros(len(parcels)), overlap)
     for j in chosen:
@@ -220,7 +224,7 @@ def activation_value(parcels: np.ndarray, cost: np.ndarray, linehaul: np.ndarray
     return {"n": len(chosen), "parcels": sold, "cost": paid, "capital": capital, "per_margin": a, "fixed": -b, "breakeven": b / a if a > 0 else math.inf}
 
 
-def activate(parcels: np.ndarray, cost: np.ndarray, linehaul: np.ndarray, overlap: list[tuple[np.ndarray, np.ndarray]], capacity: int, margin: float, terms: Activation, swaps: int | None = None) -> tuple[list[int], float]:
+def activate(parcels: np.ndarray, cost: np.ndarray, linehaul: np.ndarray, overlap, capacity: int, margin: float, terms: Activation, swaps: int | None = None) -> tuple[list[int], float]:
     """At most so many sites of most net present value at a margin, and that value.
 
     Per site it is fixed + value * exp(-exposure), so the portfolio search applies with unit costs: greedy, then swaps.

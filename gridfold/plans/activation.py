@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridfold.operators import geo, siting
+from gridfold.functions.columns import RADIUS_COST
+from gridfold.operators import siting
 from gridfold.plans.registry import query
 from gridfold.plans.stand_ins import SITES, sites
 
@@ -21,23 +21,15 @@ def _candidates(spark, sf_dir) -> DataFrame:
     return sites(spark, sf_dir).select("site", "site_lat", "site_lon", (F.col("mass") * 900).alias("parcels"), (F.col("mass") * 900 * (1.2 + k % 9 * 0.1)).alias("cost"), (F.col("mass") * 90 * (1 + k % 4)).alias("linehaul"))
 
 
-def _overlap(candidates: DataFrame) -> DataFrame:
-    """Pairs of sites within reach and how far one exposes the other: 1 at no distance, 0 at the reach."""
-    own = candidates.select(F.col("site").alias("of"), F.col("site_lat").alias("lat"), F.col("site_lon").alias("lon"))
-    return geo.radius_join(own, candidates.select("site", "site_lat", "site_lon"), REACH).filter("of <> site").select("of", "site", (1 - F.col("miles") / REACH).alias("by"))
-
-
 @query()
 def portfolio_frontier(spark, sf_dir):
-    """At each margin the sites worth activating, their net present value, and the break-even margin against its bound. The driver holds the site table and its pairs."""
+    """At each margin the sites worth activating, their net present value, and the break-even margin against its bound. The driver holds the site table."""
     s = _candidates(spark, sf_dir)
     a, b = (F.col("parcels") * TERMS.annuity).alias("a"), ((F.col("cost") - F.col("linehaul") * TERMS.shared) * TERMS.annuity + TERMS.capital).alias("b")
     bound = siting.ratio_bound(s.select(a, b), "a", "b", CAPACITY)
-    near = _overlap(s).toPandas()
     s = s.orderBy("site").toPandas()
-    at = {k: i for i, k in enumerate(s.site)}
-    pairs = {at[k]: (np.array([at[x] for x in g.site]), g.by.to_numpy()) for k, g in near.groupby("of")}
-    overlap = [pairs.get(i, (np.empty(0, np.int64), np.empty(0))) for i in range(len(s))]
+    # 1 at no distance, 0 at the reach
+    overlap = siting.Within(s.site_lat.to_numpy(), s.site_lon.to_numpy(), REACH, lambda miles: 1 - miles / REACH, RADIUS_COST)
     parcels, cost, linehaul = (s[c].to_numpy(float) for c in ("parcels", "cost", "linehaul"))
     out = []
     for margin in MARGINS:
