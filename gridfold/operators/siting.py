@@ -31,9 +31,8 @@ class Miles:
     def columns(self, which) -> np.ndarray:
         return self.kept[:, which] if self.kept is not None else miles_matrix(self.lat, self.lon, self.lat[which], self.lon[which])
 
-    def blocks(self):
-        for lo in range(0, self.shape[1], self.BLOCK):
-            yield lo, self.columns(slice(lo, lo + self.BLOCK))
+    def rows(self, which) -> np.ndarray:
+        return self.kept[which] if self.kept is not None else miles_matrix(self.lat[which], self.lon[which], self.lat, self.lon)
 
 
 class _Matrix:
@@ -45,39 +44,86 @@ class _Matrix:
     def columns(self, which) -> np.ndarray:
         return self.miles[:, which]
 
-    def blocks(self):
-        yield 0, self.miles
+    def rows(self, which) -> np.ndarray:
+        return self.miles[which]
 
 
 def p_median(miles, weights: np.ndarray, p: int, passes: int = 12) -> np.ndarray:
     """Columns that together bring sum(weight * nearest miles) down: greedy opening, then swaps as long as one helps.
 
-    Ties go to the lower index. miles is demand x candidates, a matrix or Miles.
+    Ties go to the lower index. miles is demand x candidates, a matrix or Miles. Each demand's nearest and second nearest open
+    column are kept, and what each column would save; opening, closing or trying a column then touches only the demands whose
+    nearest it is or was, so that a pass over all swaps costs as much as one over all distances.
     """
     miles = _Matrix(miles) if isinstance(miles, np.ndarray) else miles
-    n = miles.shape[1]
+    m, n = miles.shape
     if p >= n:
         return np.arange(n)
-    w, open_ = np.asarray(weights, float), []
-
-    def totals(reach: np.ndarray, barred: list[int]) -> np.ndarray:
-        out = np.concatenate([w @ np.minimum(block, reach[:, None]) for _, block in miles.blocks()])
-        out[barred] = np.inf
+    if p < 1:
+        return np.empty(0, np.int64)
+    w, block = np.asarray(weights, float), Miles.BLOCK
+
+    def change(which: np.ndarray, to: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """What all columns save more when the reach of these demands goes from of to to."""
+        out = np.zeros(n)
+        for lo in range(0, len(which), block):
+            part = slice(lo, lo + block)
+            d = miles.rows(which[part])
+            out += w[which[part]] @ (np.maximum(to[part, None] - d, 0.0) - np.maximum(of[part, None] - d, 0.0))
         return out
 
-    reach = np.full(miles.shape[0], np.inf)
+    total = np.zeros(n)
+    for lo in range(0, m, block):
+        total += w[lo : lo + block] @ miles.rows(np.arange(lo, min(m, lo + block)))
+    slack = 1e-12 * max(float(np.abs(total).min()), 1e-300)
+    first = lambda gain: int(np.flatnonzero(gain >= gain.max() - slack)[0])
+    column = lambda j: miles.columns([j])[:, 0]
+    open_ = [first(-total)]
+    near, next_ = column(open_[0]).astype(float), np.full(m, np.inf)
+    by, then = np.zeros(m, np.int64), np.full(m, -1)  # the slots of the nearest and the second nearest open column
+    every = np.arange(m)
+    saved = change(every, near, np.zeros(m))
+
+    def add(slot: int, j: int) -> None:
+        """Enters column j as open in this slot."""
+        nonlocal saved
+        d = column(j)
+        closer = np.flatnonzero(d < near)
+        saved = saved + change(closer, d[closer], near[closer])
+        second = np.flatnonzero((d >= near) & (d < next_))
+        next_[closer], then[closer] = near[closer], by[closer]
+        near[closer], by[closer] = d[closer], slot
+        next_[second], then[second] = d[second], slot
+
+    def barred(gain: np.ndarray, which: list[int]) -> np.ndarray:
+        gain = gain.copy()
+        gain[which] = -np.inf
+        return gain
+
     while len(open_) < p:
-        open_.append(int(totals(reach, open_).argmin()))
-        reach = np.minimum(reach, miles.columns(open_[-1]) if isinstance(miles, _Matrix) else miles.columns([open_[-1]])[:, 0])
-    for _ in range(passes):
+        open_.append(first(barred(saved, open_)))
+        add(len(open_) - 1, open_[-1])
+    for _ in range(passes if p > 1 else 0):
         swapped = False
         for slot in range(p):
-            others = open_[:slot] + open_[slot + 1 :]
-            rest = miles.columns(others).min(axis=1) if others else np.full(miles.shape[0], np.inf)
-            total = totals(rest, others)
-            best, now = int(total.argmin()), total[open_[slot]]
-            if now - total[best] > 1e-9 * max(now, 1.0):
+            now = float(w @ near)
+            own = np.flatnonzero(by == slot)
+            lost = float(w[own] @ (next_[own] - near[own]))
+            gain = barred(saved + change(own, next_[own], near[own]), open_)
+            best = first(gain)
+            if gain[best] - lost > 1e-9 * max(now, 1.0):
+                saved = saved + change(own, next_[own], near[own])
+                near[own], by[own] = next_[own], then[own]
+                kept = np.array([k for k in range(p) if k != slot])
+                again = np.union1d(own, np.flatnonzero(then == slot))
+                for lo in range(0, len(again), block):
+                    part = again[lo : lo + block]
+                    d = miles.rows(part)[:, np.array(open_)[kept]]
+                    d[np.arange(len(part)), np.searchsorted(kept, by[part])] = np.inf
+                    at = d.argmin(axis=1)
+                    next_[part], then[part] = d[np.arange(len(part)), at], kept[at]
                 open_[slot], swapped = best, True
+                add(slot, best)
         if not swapped:
             break
     return np.array(sorted(open_))
@@ -86,16 +132,24 @@ def p_median(miles, weights: np.ndarray, p: int, passes: int = 12) -> np.ndarray
 def depot_network(places: DataFrame, area: str, *, parcels: str = "parcels", per_depot: float = 40_000.0, whole: int = 3000) -> DataFrame:
     """Depots per area among its places: one per so many parcels, at least one.
 
-    An area is solved by one task, which holds its places' coordinates; their distances too up to `whole` places, and beyond
-    that a block of columns at a time.
+    An area is solved by one task, which holds its places' coordinates. Places of one point count together, and a depot goes to
+    the first of them; only where there are more depots than points do points get several, from the lowest places on. The
+    points' distances are held up to `whole` points, and worked out by blocks beyond that.
     """
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("place", ignore_index=True)
         k = int(min(len(rows), max(1, math.ceil(rows[parcels].sum() / per_depot))))
-        m = Miles(rows.lat.to_numpy(), rows.lon.to_numpy(), whole)
-        chosen = p_median(m, rows[parcels].to_numpy(), k)
-        cost = float((rows[parcels].to_numpy() * m.columns(chosen).min(axis=1)).sum())
+        # points in the order of their first places
+        at, _ = pd.factorize(pd.MultiIndex.from_frame(rows[["lat", "lon"]]))
+        first = np.flatnonzero(~pd.Series(at).duplicated().to_numpy())
+        m = Miles(rows.lat.to_numpy()[first], rows.lon.to_numpy()[first], whole)
+        weights = np.bincount(at, rows[parcels].to_numpy(), len(first))
+        points = p_median(m, weights, k)
+        cost = float(weights @ m.columns(points).min(axis=1))
+        chosen = first[points]
+        if k > len(first):
+            chosen = np.sort(np.concatenate([chosen, np.setdiff1d(np.arange(len(rows)), chosen)[: k - len(first)]]))
         return pd.DataFrame({"area": rows[area].iloc[0], "depot": rows.place[chosen], "depots": k, "objective": cost})
 
     return places.select(area, "place", "lat", "lon", parcels).groupBy(area).applyInPandas(solve, "area long, depot long, depots int, objective double")
