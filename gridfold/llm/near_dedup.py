@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridfold.llm._common import U64, Words, bounded_batches, column, gram_hashes, materialise, mix, shared_dir, slices
@@ -275,19 +275,22 @@ def near_dedup(docs: DataFrame, *, similarity: int = SIMILARITY, bands: int = BA
     hashed = lambda i: F.shiftrightunsigned(F.xxhash64(F.substring("sketch", i * rows + 1, F.lit(rows)), i), 64 - BUCKET_BITS)
     bucket = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: hashed(i).bitwiseOR(F.shiftleft(i.cast("long"), BUCKET_BITS)))
     members = reps.select("node", F.col("n_shingles").cast("int").alias("size"), F.explode(bucket).alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    members = materialise(members.join(shared, "bucket").dropDuplicates(["bucket", "node"]), f"{folder}/shared")
+    # counted where the members are dealt by bucket, so that they are dealt once
+    shared = members.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).filter("n > 1").drop("n")
+    members = materialise(shared.dropDuplicates(["bucket", "node"]), f"{folder}/shared")
     n_members = members.count()
     # of buckets with the same members, that of the first band is enough
     alike_buckets = few(members, n_members).groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     first_buckets = few(alike_buckets.filter("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), n_members)
     members = materialise(few(members.join(first_buckets, "bucket", "left_semi"), n_members), f"{folder}/members")
     n_members = members.count()
+    # a row per node: what is known of a node is joined once, not once per bucket
+    node_buckets = materialise(few(members, n_members).groupBy("node", "size").agg(F.collect_list("bucket").alias("buckets")), f"{folder}/node-buckets")
     centres = members.groupBy("bucket").agg(F.min("node").alias("b"))
 
     alike = texts_of.join(classes.filter("n > 1").select("c1", "c2", "n_shingles", F.col("node").alias("b")), ["c1", "c2", "n_shingles"]).filter("node <> b").select(F.col("node").alias("a"), "b")
     alike = few(materialise(alike, f"{folder}/alike"), n_members)
-    nodes = few(members.select("node").distinct(), n_members)
+    nodes = node_buckets.select("node")
     wanted = nodes.unionByName(alike.select(F.col("a").alias("node"))).unionByName(alike.select(F.col("b").alias("node"))).distinct()
     wanted = texts_of.join(wanted, "node", "left_semi").select(F.col("doc").alias("doc_id"), "key", "node")
     texts = materialise(docs.join(wanted, ["doc_id", "key"]).select("node", "text"), f"{folder}/texts")
@@ -310,7 +313,8 @@ def near_dedup(docs: DataFrame, *, similarity: int = SIMILARITY, bands: int = BA
     found = None
     for step in range(BEST_ROUNDS + 1):
         found = _grown(found, links, f"{folder}/components-{step}")
-        labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")) if found is not None else members.withColumn("component", F.col("node"))
+        labelled = node_buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")) if found is not None else node_buckets.withColumn("component", F.col("node"))
+        labelled = labelled.select("node", "size", "component", F.explode("buckets").alias("bucket"))
         open_ = materialise(open_buckets(few(labelled, n_members)), f"{folder}/open-{step}")
         n_open, n_pairs = open_.agg(F.count("*"), F.sum("pairs")).first()
         links = None
